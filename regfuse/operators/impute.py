@@ -47,28 +47,34 @@ class Mixture:
         self.mean = np.tile(centre, (self.cells, 1))
         self.cov = np.tile(cov, (self.cells, 1, 1))
 
-    def conditional(self, cell: int, pattern: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For numbers observed by the bits of ``pattern``: (observed, missing, regression, rest covariance, Soo)."""
+    def conditional(self, pattern: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For numbers observed by the bits of ``pattern``, of all cells: (observed, missing, regressions, rest covariances)."""
         o = np.array([j for j in range(self.d) if pattern >> j & 1], dtype=int)
         m = np.array([j for j in range(self.d) if not pattern >> j & 1], dtype=int)
-        s = self.cov[cell]
+        s = self.cov
         if not len(o):
-            return o, m, np.zeros((len(m), 0)), s[np.ix_(m, m)], np.zeros((0, 0))
-        b = np.linalg.solve(s[np.ix_(o, o)], s[np.ix_(o, m)]).T
-        return o, m, b, s[np.ix_(m, m)] - b @ s[np.ix_(o, m)], s[np.ix_(o, o)]
-
-    def expected(self, cell: int, pattern: int, n: float, sx: np.ndarray, sxx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over rows of a cell and pattern of E[x] and E[xx'], from those of the observed values."""
-        o, m, b, rest, _ = self.conditional(cell, pattern)
-        a = self.mean[cell][m] - b @ self.mean[cell][o]
-        ex, exx = np.zeros(self.d), np.zeros((self.d, self.d))
-        so, soo = sx[o], sxx[np.ix_(o, o)]
-        ex[o] = so
-        ex[m] = n * a + b @ so
-        exx[np.ix_(o, o)] = soo
-        mo = np.outer(a, so) + b @ soo
-        exx[np.ix_(m, o)], exx[np.ix_(o, m)] = mo, mo.T
-        exx[np.ix_(m, m)] = n * rest + n * np.outer(a, a) + np.outer(a, b @ so) + np.outer(b @ so, a) + b @ soo @ b.T
+            return o, m, np.zeros((self.cells, len(m), 0)), s[:, m][:, :, m]
+        som = s[:, o][:, :, m]
+        b = np.linalg.solve(s[:, o][:, :, o], som).transpose(0, 2, 1)
+        return o, m, b, s[:, m][:, :, m] - b @ som
+
+    def expected(self, cell: np.ndarray, pattern: int, n: np.ndarray, sx: np.ndarray, sxx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of E[x] and E[xx'] for groups of rows of one pattern, from the sums of their observed values.
+
+        ``cell`` numbers the groups' cells, ``n`` their rows, ``sx`` and ``sxx`` their sums."""
+        o, m, b, rest = self.conditional(pattern)
+        b, rest, mu = b[cell], rest[cell], self.mean[cell]
+        a = mu[:, m] - np.einsum("gmo,go->gm", b, mu[:, o])
+        so, soo = sx[:, o], sxx[:, o][:, :, o]
+        bso = np.einsum("gmo,go->gm", b, so)
+        ex, exx = np.zeros((len(cell), self.d)), np.zeros((len(cell), self.d, self.d))
+        ex[:, o], ex[:, m] = so, n[:, None] * a + bso
+        mo = a[:, :, None] * so[:, None, :] + b @ soo
+        mm = n[:, None, None] * (rest + a[:, :, None] * a[:, None, :]) + a[:, :, None] * bso[:, None, :] + bso[:, :, None] * a[:, None, :] + b @ soo @ b.transpose(0, 2, 1)
+        for x, i in enumerate(o):
+            exx[:, i, o] = soo[:, x]
+        for x, i in enumerate(m):
+            exx[:, i, o], exx[:, o, i], exx[:, i, m] = mo[:, x], mo[:, x], mm[:, x]
         return ex, exx
 
     def maximise(self, n: np.ndarray, ex: np.ndarray, exx: np.ndarray) -> float:
@@ -88,45 +94,53 @@ class Mixture:
         self.mean, self.cov = mean, cov
         return move
 
-    def weights(self, cats: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Responsibilities of rows over all cells (rows by cells) and each row's pattern of observed numbers.
+    def _consistent(self, key: np.ndarray) -> np.ndarray:
+        """The cells a row may belong to whose category numbers are ``key`` (-1: unknown)."""
+        return np.ravel(np.arange(self.cells).reshape(self.shape)[tuple(slice(None) if k < 0 else k for k in key)])
 
-        ``cats`` holds category numbers, -1 for an unknown one."""
-        rows = len(cats)
-        grid = np.indices(self.shape).reshape(len(self.shape), -1)
-        log = np.tile(np.log(self.pi), (rows, 1))
-        for j in range(len(self.shape)):
-            known = cats[:, j] >= 0
-            log[np.ix_(known, np.arange(self.cells))] += np.where(grid[j][None, :] == cats[known, j][:, None], 0.0, -np.inf)
+    def weights(self, cats: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+        """Responsibilities: for each group of rows with the same known categories and pattern of observed numbers
+        (row numbers, pattern, cells they may belong to, rows by cells)."""
         bits = (~np.isnan(x)) @ (1 << np.arange(self.d))
-        for pattern in np.unique(bits):
-            if not pattern:
-                continue
+        keys, at = np.unique(np.column_stack([cats, bits]), axis=0, return_inverse=True)
+        at = at.ravel()
+        for g, key in enumerate(keys):
+            which, cells, pattern = np.flatnonzero(at == g), self._consistent(key[:-1]), int(key[-1])
+            log = np.tile(np.log(self.pi[cells]), (len(which), 1))
             o = [j for j in range(self.d) if pattern >> j & 1]
-            which = np.flatnonzero(bits == pattern)
-            cov = self.cov[:, o][:, :, o]
-            inv, logdet = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
-            diff = x[which][:, None, o] - self.mean[None][:, :, o]
-            log[which] -= 0.5 * (np.einsum("rci,cij,rcj->rc", diff, inv, diff) + logdet[None])
-        log -= log.max(1, keepdims=True)
-        r = np.exp(log)
-        return r / r.sum(1, keepdims=True), bits
+            if o and len(cells) > 1:
+                cov = self.cov[cells][:, o][:, :, o]
+                # whitened differences: one triangular factor a cell
+                root = np.linalg.cholesky(np.linalg.inv(cov))
+                diff = np.einsum("cji,rcj->rci", root, x[which][:, None, o] - self.mean[cells][None][:, :, o])
+                log -= 0.5 * ((diff**2).sum(2) + np.linalg.slogdet(cov)[1][None])
+            log -= log.max(1, keepdims=True)
+            r = np.exp(log)
+            yield which, pattern, cells, r / r.sum(1, keepdims=True)
 
     def fill(self, cats: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers with missing ones replaced by conditional expectations, and the most probable cell of each row."""
-        r, bits = self.weights(cats, x)
-        out = x.copy()
-        for pattern in np.unique(bits):
-            which = np.flatnonzero(bits == pattern)
-            for cell in np.flatnonzero(r[which].max(0) > 1e-6):
-                o, m, b, _, _ = self.conditional(cell, int(pattern))
-                if not len(m):
-                    break
-                add = self.mean[cell][m] + (x[which][:, o] - self.mean[cell][o]) @ b.T
-                w = r[which, cell][:, None]
-                cur = out[np.ix_(which, m)]
-                out[np.ix_(which, m)] = np.where(np.isnan(cur), 0.0, cur) + w * add
-        return out, r.argmax(1)
+        out, cell = x.copy(), np.zeros(len(x), dtype=int)
+        sure = (cats >= 0).all(1)
+        bits = (~np.isnan(x)) @ (1 << np.arange(self.d))
+        if sure.any():
+            cell[sure] = np.ravel_multi_index(cats[sure].T, self.shape)
+            for pattern in np.unique(bits[sure]):
+                which = np.flatnonzero(sure & (bits == pattern))
+                o, m, b, _ = self.conditional(int(pattern))
+                if len(m):
+                    c = cell[which]
+                    out[np.ix_(which, m)] = self.mean[c][:, m] + np.einsum("rmo,ro->rm", b[c], x[which][:, o] - self.mean[c][:, o])
+        loose = np.flatnonzero(~sure)
+        if len(loose):
+            for rows, pattern, cells, r in self.weights(cats[loose], x[loose]):
+                which = loose[rows]
+                cell[which] = cells[r.argmax(1)]
+                o, m, b, _ = self.conditional(pattern)
+                if len(m):
+                    diff = x[which][:, None, o] - self.mean[cells][None][:, :, o]
+                    out[np.ix_(which, m)] = np.einsum("rc,rcm->rm", r, self.mean[cells][None][:, :, m] + np.einsum("cmo,rco->rcm", b[cells], diff))
+        return out, cell
 
 
 def _levels(df: DataFrame, categorical: list[str], most: int) -> list[list[str]]:
@@ -164,31 +178,19 @@ def fit_mixture(df: DataFrame, numeric: list[str], categorical: list[str], max_c
     centre = np.array([observed[j][f"s{j}"].sum() / max(counts[j], 1) for j in range(d)])
     spread = np.array([max(observed[j][f"q{j}_{j}"].sum() / max(counts[j], 1) - centre[j] ** 2, 1e-3) for j in range(d)])
     mix.start(centre, np.diag(spread))
-    known, groups = stats[(stats[keys] >= 0).all(axis=1)], []
-    for r in known.itertuples(index=False):
-        row = r._asdict() if not keys[0].startswith("_") else dict(zip(stats.columns, r))
-        sxx = np.zeros((d, d))
-        for i, j in pairs:
-            sxx[i, j] = sxx[j, i] = row[f"q{i}_{j}"]
-        cell = int(np.ravel_multi_index([int(row[k]) for k in keys], mix.shape))
-        groups.append((cell, int(row["pattern"]), float(row["n"]), np.array([row[f"s{j}"] for j in range(d)]), sxx))
-    unknown_rows = float(stats[~(stats[keys] >= 0).all(axis=1)].n.sum())
-    loose = Cut(coded.filter(F.least(*keys, F.lit(0)) < 0), "loose") if unknown_rows else None
+    known = stats[(stats[keys] >= 0).all(axis=1)]
+    groups = [_sums(mix, np.ravel_multi_index(part[keys].to_numpy(int).T, mix.shape), int(p), part, pairs) for p, part in known.groupby("pattern")]
+    loose = Cut(coded.filter(F.least(*keys, F.lit(0)) < 0), "loose") if len(known) < len(stats) else None
     try:
         for step in range(iterations):
             n, ex, exx = np.zeros(mix.cells), np.zeros((mix.cells, d)), np.zeros((mix.cells, d, d))
-            for cell, pat, rows, sx, sxx in groups:
-                a, b = mix.expected(cell, pat, rows, sx, sxx)
-                n[cell] += rows
-                ex[cell] += a
-                exx[cell] += b
             # the first step places the components by the rows whose cell is known
-            if loose is not None and step:
-                for cell, pat, rows, sx, sxx in _loose_statistics(loose.df, mix, keys):
-                    a, b = mix.expected(cell, pat, rows, sx, sxx)
-                    n[cell] += rows
-                    ex[cell] += a
-                    exx[cell] += b
+            more = _loose_statistics(loose.df, mix, keys, pairs) if loose is not None and step else []
+            for cell, pat, rows, sx, sxx in [*groups, *more]:
+                a, b = mix.expected(cell, pat, rows, sx, sxx)
+                np.add.at(n, cell, rows)
+                np.add.at(ex, cell, a)
+                np.add.at(exx, cell, b)
             move = mix.maximise(n, ex, exx)
             mix.iterations = step + 1
             if step and move < TOLERANCE:
@@ -199,26 +201,30 @@ def fit_mixture(df: DataFrame, numeric: list[str], categorical: list[str], max_c
     return mix
 
 
-def _loose_statistics(loose: DataFrame, mix: Mixture, keys: list[str]):
+def _sums(mix: Mixture, cell: np.ndarray, pattern: int, part: pd.DataFrame, pairs: list[tuple[int, int]]) -> tuple:
+    """Summed statistics of one pattern as arrays."""
+    sxx = np.zeros((len(part), mix.d, mix.d))
+    for i, j in pairs:
+        sxx[:, i, j] = sxx[:, j, i] = part[f"q{i}_{j}"].to_numpy(float)
+    return cell, pattern, part["n"].to_numpy(float), part[[f"s{j}" for j in range(mix.d)]].to_numpy(float), sxx
+
+
+def _loose_statistics(loose: DataFrame, mix: Mixture, keys: list[str], pairs: list[tuple[int, int]]) -> list[tuple]:
     """Weighted sums of rows with an unknown category, per cell and pattern: summed in each partition, then over all."""
     d = mix.d
     xs = [f"_x{j}" for j in range(d)]
-    cols = ["n", *[f"s{j}" for j in range(d)], *[f"q{i}_{j}" for i in range(d) for j in range(d)]]
+    cols = ["n", *[f"s{j}" for j in range(d)], *[f"q{i}_{j}" for i, j in pairs]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple[int, int], np.ndarray] = {}
+        total: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
+            for at in range(0, len(pdf), 4000):
+                part = pdf.iloc[at : at + 4000]
                 x = part[xs].to_numpy(float)
-                r, bits = mix.weights(part[keys].to_numpy(int), x)
                 z = np.nan_to_num(x)
-                for pattern in np.unique(bits):
-                    which = bits == pattern
-                    w, v = r[which], z[which]
-                    sums = np.hstack([w.sum(0)[:, None], w.T @ v, np.einsum("rc,ri,rj->cij", w, v, v).reshape(mix.cells, -1)])
-                    key = int(pattern)
-                    total[key] = total.get(key, 0) + sums
+                v = np.column_stack([np.ones(len(z)), z, *[z[:, i] * z[:, j] for i, j in pairs]])
+                for which, pattern, cells, r in mix.weights(part[keys].to_numpy(int), x):
+                    total.setdefault(pattern, np.zeros((mix.cells, v.shape[1])))[cells] += r.T @ v[which]
         for pattern, sums in total.items():
             some = np.flatnonzero(sums[:, 0] > 1e-9)
             out = pd.DataFrame(sums[some], columns=cols)
@@ -228,8 +234,7 @@ def _loose_statistics(loose: DataFrame, mix: Mixture, keys: list[str]):
 
     schema = "cell bigint, pattern bigint, " + ", ".join(f"{c} double" for c in cols)
     summed = loose.mapInPandas(run, schema).groupBy("cell", "pattern").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
-    for r in summed.to_dict("records"):
-        yield int(r["cell"]), int(r["pattern"]), r["n"], np.array([r[f"s{j}"] for j in range(d)]), np.array([[r[f"q{i}_{j}"] for j in range(d)] for i in range(d)])
+    return [_sums(mix, part["cell"].to_numpy(int), int(p), part, pairs) for p, part in summed.groupby("pattern")]
 
 
 def fill_missing(df: DataFrame, missing: dict[str, Column], categorical: dict[str, Column], group: list[Column] | None = None, id_col: str = "row_id", max_categories: int = MAX_CATEGORIES, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -267,7 +272,6 @@ def fill_missing(df: DataFrame, missing: dict[str, Column], categorical: dict[st
         for k in keys:
             good = good & F.col(k).isNotNull()
         good = good & (F.col(keys[0]) != "")
-        # groups with a gap are few: they are found first, then only their rows are averaged
         means = base.filter(good).groupBy(*keys).agg(*[F.avg(f"_v_{f}").alias(f"_m_{f}") for f in fields])
         gaps = gaps.join(means, keys, "left")
     else:
@@ -281,8 +285,8 @@ def fill_missing(df: DataFrame, missing: dict[str, Column], categorical: dict[st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
+            for at in range(0, len(pdf), 4000):
+                part = pdf.iloc[at : at + 4000]
                 own = part[[f"_v_{f}" for f in fields]].to_numpy(float)
                 mean = part[[f"_m_{f}" for f in fields]].to_numpy(float)
                 x = np.where(np.isnan(own), mean, own)
