@@ -25,7 +25,7 @@ CAPACITY_STAND_INS = [99999.0, 999999.0, 9999999.0, 99999999.0, 999999999.0, 888
 def text_missing(c: str | Column) -> Column:
     """True for null, blank or "not known" text; never null."""
     c = F.col(c) if isinstance(c, str) else c
-    t = F.lower(F.trim(F.regexp_replace(c, r"[\s ]+", " ")))
+    t = F.lower(F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " ")))
     return F.coalesce(t.isin(UNKNOWN_TEXT), F.lit(True))
 
 
