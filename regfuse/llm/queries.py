@@ -43,7 +43,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_truth": p1_truth, "p2_found": p2_found, "p9_found": p9_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regfuse.llm.residue import find_residue
+
+    return find_residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_truth": p1_truth, "p2_found": p2_found, "p9_found": p9_found, "p10_found": p10_found}
 
 _PRESENT = {
     "capacity": "capacity > 0 AND NOT isnan(capacity) AND capacity <= 1e12 AND capacity NOT IN (99999, 999999, 9999999, 99999999, 999999999, 88888, 888888)",
