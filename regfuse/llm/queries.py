@@ -37,6 +37,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups(table(spark, sf_dir, "matches"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regfuse.llm.variants import find_variants
+
+    return find_variants(table(spark, sf_dir, "powerplants")).select("row_id_one", "row_id_two")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regfuse.llm.leakage import find_leaks
 
@@ -49,7 +55,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_truth": p1_truth, "p2_found": p2_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_truth": p1_truth, "p2_found": p2_found, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
 
 _PRESENT = {
     "capacity": "capacity > 0 AND NOT isnan(capacity) AND capacity <= 1e12 AND capacity NOT IN (99999, 999999, 9999999, 99999999, 999999999, 88888, 888888)",
