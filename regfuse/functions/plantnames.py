@@ -83,7 +83,7 @@ def word(w: str) -> tuple[str, str]:
     """A folded word as (role, value): type, qual or place; misread digits and single typos of type words are mended."""
     if not w.isdigit() and any(ch.isdigit() for ch in w) and len(w) >= 4:
         w = w.replace("0", "o").replace("1", "l").replace("5", "s")
-    tries = [w] + ([w.replace("rn", "m")] if "rn" in w else []) + ([re.sub("([aou])e", r"\1", w)] if re.search("[aou]e", w) else [])
+    tries = [w] + ([w.replace("rn", "m")] if "rn" in w else []) + ([w.replace("m", "in"), w.replace("m", "rn")] if "m" in w and len(w) >= 5 else []) + ([re.sub("([aou])e", r"\1", w)] if re.search("[aou]e", w) else [])
     for t in tries:
         if t in _QUAL:
             return "qual", _QUAL[t]
