@@ -14,6 +14,8 @@ from regfuse.functions.plantnames import company_words, one_edit, parsed
 from regfuse.functions.vocab import country_code, fuel_class
 from regfuse.session import Cut
 
+#: Names that only may be one are taken for one at so many kilometres.
+CLOSE_KM = 3.0
 #: Records of one plant lie no farther apart (blocks, other entrances, coarse coordinates).
 PLANT_KM = 6.0
 
@@ -22,7 +24,7 @@ def prepare(plants: DataFrame) -> Cut:
     """The registers' rows as ``id, source, name, cc, fuel, qual, places, lat, lon, cap``, written once.
 
     Names are parsed twice, as company words are found in the parsed names of all rows. A missing country is the
-    one that most rows of the same half-degree cell have, else that of rows with the same place words."""
+    one that most rows with the same place words have, else that of most rows of the same half-degree cell."""
     clean = plants.select(
         F.col("row_id").alias("id"),
         F.coalesce("source_name", F.lit("")).alias("source"),
@@ -49,7 +51,7 @@ def prepare(plants: DataFrame) -> Cut:
         wanted = lost.select(core.alias("k")).distinct()
         by_core = _mode(rows.filter("cc is not null").join(wanted, core == F.col("k"), "left_semi"), core)
         found = lost.withColumn("_c", cell).withColumn("_k", core).join(by_cell.toDF("_c", "cc1"), "_c", "left").join(by_core.toDF("_k", "cc2"), "_k", "left")
-        found = found.withColumn("cc", F.coalesce(F.when(F.col("lat").isNotNull(), F.col("cc1")), "cc2", "cc1"))
+        found = found.withColumn("cc", F.coalesce("cc2", "cc1"))
         rows = rows.filter("cc is not null").unionByName(found.select(rows.columns))
     out = Cut(rows.withColumn("cc", F.coalesce("cc", F.lit(""))), "rows")
     first.drop()
@@ -68,6 +70,11 @@ def compatible(a: str, b: str) -> Column:
     return (col(a, "qual") == col(b, "qual")) & fuel & F.coalesce(near, F.lit(True))
 
 
+def distance(a: str, b: str) -> Column:
+    """Kilometres between rows with column prefixes ``a`` and ``b``; null where a position is missing."""
+    return haversine_km(F.col(a + "lat"), F.col(a + "lon"), F.col(b + "lat"), F.col(b + "lon"))
+
+
 def osa(a: str, b: str, most: int) -> int:
     """Edit distance with swaps of neighbours, or ``most`` + 1 if it is larger."""
     if abs(len(a) - len(b)) > most:
@@ -115,16 +122,49 @@ def word_match(x: str, y: str) -> float:
     return 0.0
 
 
+# Letters that scanners take for others.
+SCAN = [("rn", "m"), ("in", "m"), ("nn", "m"), ("cl", "d"), ("vv", "w"), ("c", "e")]
+
+
+@lru_cache(maxsize=500_000)
+def soft_match(x: str, y: str) -> float:
+    """:func:`word_match`, or 0.5 for words that may still be one if all else agrees: misread letters, several edits,
+    the same beginning."""
+    s = word_match(x, y)
+    if s:
+        return s
+    a, b = x.rstrip("."), y.rstrip(".")
+    if not a or not b:
+        return 0.0
+    if a[:3] == b[:3] and len(a) >= 4 and len(b) >= 4:
+        return 0.5
+    u, v = a, b
+    for bad, good in SCAN:
+        u, v = u.replace(bad, good), v.replace(bad, good)
+    if u == v or one_edit(u, v):
+        return 0.6
+    if x.endswith(".") or y.endswith("."):
+        n = min(len(a), len(b))
+        return 0.5 if n >= 4 and osa(a[:n], b[:n], 2) <= 2 else 0.45 * (n >= 3 and a[0] == b[0])
+    if min(len(a), len(b)) >= 5 and osa(u, v, 3) <= max(2, min(3, max(len(u), len(v)) // 3)):
+        return 0.5
+    return 0.45 if a[0] == b[0] and len(a) >= 3 and len(b) >= 3 else 0.0
+
+
 def _glued(g: str, words: tuple[str, ...]) -> float:
-    """A word that runs two others together, the last perhaps cut short."""
+    """A word that runs two others together, one of them perhaps cut short: 0.8 and more, or 0.5 if only like it."""
     best = 0.0
     for x, y in permutations(words, 2):
         x, y = x.rstrip("."), y.rstrip(".")
         if g.startswith(x) and len(g) >= len(x) + 2 and y.startswith(g[len(x) :]):
             return 0.9
+        if g.endswith(y) and len(g) >= len(y) + 2 and x.startswith(g[: -len(y)]):
+            return 0.9
         whole = (x + y)[: len(g)]
         if len(g) >= len(x) + 2 and (one_edit(g, whole) or one_edit(g, (x + y)[: len(g) + 1]) or one_edit(g, (x + y)[: len(g) - 1])):
             best = max(best, 0.8)
+        if len(g) >= 7 and ((g[:4] == x[:4] and y[:3] in g[3:]) or (g[:3] == x[:3] and y[:4] in g[3:])):
+            best = max(best, 0.5)
     return best
 
 
@@ -132,21 +172,25 @@ def _glued(g: str, words: tuple[str, ...]) -> float:
 def places_match(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """Agreement of two lists of place words by their best assignment, in any order; 0 if they name other places.
 
-    The shorter list must be matched whole; a list of one word may be two run together; at most one word of a pair
-    may agree weakly (stem or two edits), the other then has to agree well."""
+    Above 0.5: the lists name one place. The shorter one is then matched whole; a list of one word may be two run
+    together; at most one word agrees weakly (stem or two edits). Up to 0.5: they may name one place, if the rows
+    lie close together: one word agrees well or both somewhat."""
     if not a or not b:
         return 0.0
     if len(a) > len(b):
         a, b = b, a
     if len(a) == 1:
         if len(b) == 1:
-            s = word_match(a[0], b[0])
-            return s if s >= 0.9 or (s >= 0.7 and len(a[0]) >= 9) else 0.0
+            s = soft_match(a[0], b[0])
+            return s if s >= 0.9 or (s >= 0.7 and len(a[0]) >= 9) else 0.5 * (s >= 0.5 and len(a[0]) >= 7)
         return max((_glued(a[0].rstrip("."), p) for p in permutations(b, 2)), default=0.0)
     best = 0.0
     for chosen in permutations(b, len(a)) if len(b) <= 4 else [b[: len(a)]]:
-        scores = sorted(word_match(x, y) for x, y in zip(a, chosen))
-        if scores[0] < 0.6 or (scores[0] < 0.9 and scores[1] < 0.9):
+        scores = sorted(soft_match(x, y) for x, y in zip(a, chosen))
+        if scores[0] < 0.45 or (scores[0] < 0.5 and scores[1] < 0.9):
             continue
-        best = max(best, sum(scores) / len(scores))
-    return best * (1.0 if len(a) == len(b) else 0.9)
+        if scores[0] < 0.6 or (scores[0] < 0.9 and scores[1] < 0.9):
+            best = max(best, 0.5 if scores[-1] >= 0.9 else 0.45)
+        else:
+            best = max(best, sum(scores) / len(scores) * (1.0 if len(a) == len(b) else 0.9))
+    return best

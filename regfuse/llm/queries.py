@@ -37,6 +37,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups(table(spark, sf_dir, "matches"))
 
 
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with confidence and cosine."""
+    from regfuse.llm.entities import find_matches
+
+    out = find_matches(table(spark, sf_dir, "powerplants"))
+    return out.select("row_id_one", "row_id_two", F.round("confidence", 4).alias("confidence"), F.round("cosine", 4).alias("cosine"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_matches(spark, sf_dir).select("row_id_one", "row_id_two")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regfuse.llm.variants import find_variants
 
@@ -55,7 +67,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_truth": p1_truth, "p2_found": p2_found, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_truth": p1_truth, "p2_found": p2_found, "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
 
 _PRESENT = {
     "capacity": "capacity > 0 AND NOT isnan(capacity) AND capacity <= 1e12 AND capacity NOT IN (99999, 999999, 9999999, 99999999, 999999999, 88888, 888888)",
