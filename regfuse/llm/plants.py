@@ -62,12 +62,38 @@ def _mode(df: DataFrame, key: Column) -> DataFrame:
     return df.groupBy(key.alias("k"), "cc").count().groupBy("k").agg(F.max_by("cc", F.struct("count", "cc")).alias("cc"))
 
 
+def packed_info(source: Column, qual: Column) -> Column:
+    """What decides whether rows ``lat, lon, fuel`` can be one plant, in one number for the join on hash keys.
+
+    From the low end: longitude and latitude in hundredths of a degree (16 and 15 bits, 0: unknown), fuel (8 bits, 0:
+    unknown), qualifier (8 bits), register (12 bits). Hashed parts only ever let too many pairs pass."""
+    small = lambda c, bits: F.pmod(F.xxhash64(c), F.lit((1 << bits) - 1)) + 1
+    x, y = F.round((F.col("lon") + 180) * 100).cast("bigint") + 1, F.round((F.col("lat") + 90) * 100).cast("bigint") + 1
+    place = F.coalesce(x + F.shiftleft(y, 16), F.lit(0))
+    fuel = F.when(F.col("fuel").isNotNull(), small(F.col("fuel"), 8)).otherwise(F.lit(0))
+    return place + F.shiftleft(fuel, 31) + F.shiftleft(small(qual, 8), 39) + F.shiftleft(small(source, 12), 47)
+
+
+def meeting(keys: DataFrame, same_source: bool) -> DataFrame:
+    """Distinct pairs of ids (``one`` < ``other``) that share a key and can be one plant by :func:`packed_info`.
+
+    The checks are part of the join: a bucket's pairs are counted in its task and only possible ones leave it."""
+    a, b = (keys.select([F.col(c).alias(p + c) for c in ("key", "id", "info")]) for p in ("a_", "b_"))
+    part = lambda p, at, bits: F.shiftright(F.col(p + "info"), at).bitwiseAND(F.lit((1 << bits) - 1))
+    source = part("a_", 47, 12) == part("b_", 47, 12)
+    fuel = (part("a_", 31, 8) == part("b_", 31, 8)) | (part("a_", 31, 8) == 0) | (part("b_", 31, 8) == 0)
+    y1, y2, x1, x2 = (part(p, at, bits) for at, bits in ((16, 15), (0, 16)) for p in ("a_", "b_"))
+    dy, dx = (y1 - y2) * 1.112, (x1 - x2) * 1.112 * F.cos(F.radians((y1 - 1) / 100.0 - 90))
+    # rounding moves each position by up to 0.8 km
+    near = (y1 == 0) | (y2 == 0) | (dy * dy + dx * dx <= (PLANT_KM + 1.6) ** 2)
+    on = (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & (source if same_source else F.lit(True)) & (part("a_", 39, 8) == part("b_", 39, 8)) & fuel & near
+    return a.join(b, on).select(F.col("a_id").alias("one"), F.col("b_id").alias("other")).distinct()
+
+
 def compatible(a: str, b: str) -> Column:
     """Whether rows with column prefixes ``a`` and ``b`` can be one plant by qualifier, fuel and position."""
-    col = lambda p, c: F.col(f"{p}{c}")
-    near = haversine_km(col(a, "lat"), col(a, "lon"), col(b, "lat"), col(b, "lon")) <= PLANT_KM
-    fuel = (col(a, "fuel") == col(b, "fuel")) | col(a, "fuel").isNull() | col(b, "fuel").isNull()
-    return (col(a, "qual") == col(b, "qual")) & fuel & F.coalesce(near, F.lit(True))
+    fuel = (F.col(a + "fuel") == F.col(b + "fuel")) | F.col(a + "fuel").isNull() | F.col(b + "fuel").isNull()
+    return (F.col(a + "qual") == F.col(b + "qual")) & fuel & F.coalesce(distance(a, b) <= PLANT_KM, F.lit(True))
 
 
 def distance(a: str, b: str) -> Column:
