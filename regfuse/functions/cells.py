@@ -14,7 +14,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius_
     """Great-circle distance on a sphere; null if any coordinate is null."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     a = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius_km * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * radius_km * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))
 
 
 def grid(c: Column, low: float, span: float, bits: int) -> Column:
