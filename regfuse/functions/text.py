@@ -132,7 +132,7 @@ def cleaned_technology(c: str | Column = "Technology", generalize_hydros: bool =
     t = F.when(t == "Gas turbine", "OCGT").otherwise(t)
     for p, v in [("combined cycle|combustion", "CCGT"), ("steam turbine|critical thermal", "Steam Turbine"), ("ocgt|open cycle", "OCGT")]:
         t = F.when(t.rlike(f"(?i){p}"), v).otherwise(t)
-    parts = F.array_sort(F.array_distinct(F.split(title(t), ", ")))
+    parts = F.array_sort(F.array_distinct(F.split(F.when(t.isNotNull(), title(t)), ", ")))
     t = F.array_join(F.transform(parts, F.trim), ", ")
     # Abbreviations spelled in their own way.
     own = {"Ccgt": "CCGT", "Ocgt": "OCGT", "Pv": "PV", "Nas": "NaS", "Nicd": "NiCd", "Nanicl": "NaNiCl", "Caes": "CAES"}
