@@ -55,6 +55,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_variants(table(spark, sf_dir, "powerplants")).select("row_id_one", "row_id_two")
 
 
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regfuse.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regfuse.llm.leakage import find_leaks
 
@@ -67,7 +73,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_truth": p1_truth, "p2_found": p2_found, "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_truth": p1_truth, "p2_found": p2_found, "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found}
 
 _PRESENT = {
     "capacity": "capacity > 0 AND NOT isnan(capacity) AND capacity <= 1e12 AND capacity NOT IN (99999, 999999, 9999999, 99999999, 999999999, 88888, 888888)",
