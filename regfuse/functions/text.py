@@ -127,18 +127,18 @@ def cleaned_technology(c: str | Column = "Technology", generalize_hydros: bool =
     rules = []
     if generalize_hydros:
         rules += [("pump", "Pumped Storage"), ("reservoir|lake", "Reservoir"), ("run-of-river|weir|water", "Run-Of-River"), ("dam", "Reservoir")]
+    rules += [("^Gas turbine$", "OCGT"), ("combined cycle|combustion", "CCGT"), ("steam turbine|critical thermal", "Steam Turbine"), ("ocgt|open cycle", "OCGT")]
+    # each rule sees the one before it: the whole text is replaced where the rule's words are found
     for p, v in rules:
-        t = F.when(t.rlike(f"(?i){p}"), v).otherwise(t)
-    t = F.when(t == "Gas turbine", "OCGT").otherwise(t)
-    for p, v in [("combined cycle|combustion", "CCGT"), ("steam turbine|critical thermal", "Steam Turbine"), ("ocgt|open cycle", "OCGT")]:
-        t = F.when(t.rlike(f"(?i){p}"), v).otherwise(t)
-    parts = F.array_sort(F.array_distinct(F.split(F.when(t.isNotNull(), title(t)), ", ")))
+        case = "" if p.startswith("^") else "(?is)"
+        t = F.regexp_replace(t, f"{case}^.*(?:{p}).*$" if not p.startswith("^") else p, v)
+    parts = F.array_sort(F.array_distinct(F.split(title(t), ", ")))
     t = F.array_join(F.transform(parts, F.trim), ", ")
     # Abbreviations spelled in their own way.
     own = {"Ccgt": "CCGT", "Ocgt": "OCGT", "Pv": "PV", "Nas": "NaS", "Nicd": "NiCd", "Nanicl": "NaNiCl", "Caes": "CAES"}
     for k, v in own.items():
-        t = F.when(t == k, v).otherwise(t)
-    return t
+        t = F.regexp_replace(t, f"^{k}$", v)
+    return F.when((F.col(c) if isinstance(c, str) else c).isNotNull(), t)
 
 
 def clean_technology(df: DataFrame, generalize_hydros: bool = False) -> DataFrame:
