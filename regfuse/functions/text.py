@@ -133,7 +133,7 @@ def cleaned_technology(c: str | Column = "Technology", generalize_hydros: bool =
         case = "" if p.startswith("^") else "(?is)"
         t = F.regexp_replace(t, f"{case}^.*(?:{p}).*$" if not p.startswith("^") else p, v)
     parts = F.array_sort(F.array_distinct(F.split(title(t), ", ")))
-    t = F.array_join(F.transform(parts, F.trim), ", ")
+    t = F.array_join(F.transform(parts, lambda x: F.trim(x)), ", ")
     # Abbreviations spelled in their own way.
     own = {"Ccgt": "CCGT", "Ocgt": "OCGT", "Pv": "PV", "Nas": "NaS", "Nicd": "NiCd", "Nanicl": "NaNiCl", "Caes": "CAES"}
     for k, v in own.items():

@@ -140,13 +140,13 @@ def country_alpha2(spark, sf):
 
 
 _SIMILAR = """
-, r AS (SELECT row_id AS id, source, nullif(trim(regexp_replace(lower(name), '\\s+', ' ', 'g')), '') AS name, nullif(trim(lower(fueltype)), '') AS fuel, nullif(trim(lower(technology)), '') AS tech, country, capacity, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lat END AS lat, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lon END AS lon FROM p {where}),
-q AS (SELECT *, coalesce(country, '') AS b1, coalesce(fuel, '') AS b2, CASE WHEN length(fuel) < 2 THEN [fuel] ELSE list_distinct(list_transform(range(1, length(fuel)), lambda i: fuel[i:i+1])) END AS fq, CASE WHEN length(tech) < 2 THEN [tech] ELSE list_distinct(list_transform(range(1, length(tech)), lambda i: tech[i:i+1])) END AS tq, string_split(name, ' ') AS w FROM r),
+, r AS (SELECT row_id AS id, source, nullif(trim(regexp_replace(replace(replace(replace(replace(strip_accents(lower(name)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd'), '[ \\t\\n\\r]+', ' ', 'g')), '') AS name, nullif(trim(replace(replace(replace(replace(strip_accents(lower(fueltype)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd')), '') AS fuel, nullif(trim(replace(replace(replace(replace(strip_accents(lower(technology)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd')), '') AS tech, coalesce(trim(lower(fueltype)), '') AS rawfuel, country, capacity, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lat END AS lat, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lon END AS lon FROM p {where}),
+q AS (SELECT *, coalesce(country, '') AS b1, rawfuel AS b2, CASE WHEN length(fuel) < 2 THEN [fuel] ELSE list_distinct(list_transform(range(1, length(fuel)), lambda i: fuel[i:i+1])) END AS fq, CASE WHEN length(tech) < 2 THEN [tech] ELSE list_distinct(list_transform(range(1, length(tech)), lambda i: tech[i:i+1])) END AS tq, string_split(name, ' ') AS w FROM r),
 s AS (SELECT a.id AS id_a, b.id AS id_b,
  CASE WHEN a.name = b.name THEN 1.0 WHEN len(a.w) <= len(b.w) THEN list_avg(list_transform(a.w, lambda x: list_max(list_transform(b.w, lambda y: jaro_winkler_similarity(x, y))))) ELSE list_avg(list_transform(b.w, lambda x: list_max(list_transform(a.w, lambda y: jaro_winkler_similarity(x, y))))) END AS s_name,
  CASE WHEN a.fuel = b.fuel THEN 1.0 ELSE len(list_intersect(a.fq, b.fq)) / least(len(a.fq), len(b.fq))::DOUBLE END AS s_fuel, CASE WHEN a.tech = b.tech THEN 1.0 ELSE len(list_intersect(a.tq, b.tq)) / least(len(a.tq), len(b.tq))::DOUBLE END AS s_tech,
- CASE WHEN a.country = b.country THEN 1.0 END AS s_country, CASE WHEN a.capacity = 0 OR b.capacity = 0 THEN NULL WHEN a.capacity * b.capacity < 0 THEN 0.0 ELSE least(abs(a.capacity), abs(b.capacity)) / greatest(abs(a.capacity), abs(b.capacity)) END AS s_cap,
- greatest(0.0, 1 - 2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) / 5.0) AS s_geo
+ CASE WHEN a.country = b.country THEN 1.0 END AS s_country, CASE WHEN a.capacity IS NULL OR b.capacity IS NULL OR a.capacity = 0 OR b.capacity = 0 THEN NULL WHEN a.capacity * b.capacity < 0 THEN 0.0 ELSE least(abs(a.capacity), abs(b.capacity)) / greatest(abs(a.capacity), abs(b.capacity)) END AS s_cap,
+ CASE WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL THEN greatest(0.0, 1 - 2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) / 5.0) END AS s_geo
  FROM q a JOIN q b ON a.b1 = b.b1 AND a.b2 = b.b2 AND {on}),
 o AS (SELECT id_a, id_b, {odds} AS odds FROM s)"""
 
@@ -369,6 +369,8 @@ def _cohorts(spark, sf, geo):
     from regfuse.operators.heuristics import vre_by_commissioning_year
 
     out = vre_by_commissioning_year(plants(spark, sf), ["Solar", "Wind"], geo)
+    if geo == "wm":
+        out = out.withColumns({c: F.round(c, 4) for c in ("lat", "lon")})
     return lower(out.withColumns(r6(*[c for c in ("Capacity", "lat", "lon") if c in out.columns], "DateIn")))
 
 
@@ -385,7 +387,7 @@ def vre_cohorts_mean(spark, sf):
     return _cohorts(spark, sf, "mean")
 
 
-@query(_COMM_VRE + " SELECT country, round(d3, 6) AS datein, fueltype, technology, round(sum(capacity), 6) AS capacity, " + ", ".join(f"round(sum({c} * capacity) FILTER (lat IS NOT NULL AND lon IS NOT NULL) / nullif(sum(capacity) FILTER (lat IS NOT NULL AND lon IS NOT NULL), 0), 6) AS {c}" for c in ("lat", "lon")) + ", 'PP' AS \"set\"" + _BY)
+@query(_COMM_VRE + " SELECT country, round(d3, 6) AS datein, fueltype, technology, round(sum(capacity), 6) AS capacity, " + ", ".join(f"round(sum({c} * capacity) FILTER (lat IS NOT NULL AND lon IS NOT NULL) / nullif(sum(capacity) FILTER (lat IS NOT NULL AND lon IS NOT NULL), 0), 4) AS {c}" for c in ("lat", "lon")) + ", 'PP' AS \"set\"" + _BY)
 def vre_cohorts_weighted(spark, sf):
     return _cohorts(spark, sf, "wm")
 
@@ -448,7 +450,7 @@ def apportion_storage(spark, sf):
     from regfuse.sources.importers import apportion_storage as apportion
 
     p = plants(spark, sf).filter("StorageCapacity_MWh is not null")
-    ids = p.select(F.explode(F.filter(F.transform(F.split("projectID", ","), F.trim), lambda x: x != "")).alias("projectID")).distinct()
+    ids = p.select(F.explode(F.filter(F.transform(F.split("projectID", ","), lambda x: F.trim(x)), lambda x: x != "")).alias("projectID")).distinct()
     return lower(apportion(p, ids, "StorageCapacity_MWh", "projectID").withColumns(r6("StorageCapacity")))
 
 

@@ -41,7 +41,7 @@ def units_and_plants(units: DataFrame, plants: DataFrame, key: str = "projectID"
 
 def apportion_storage(storage: DataFrame, units: DataFrame, volume: str = "NutzbareSpeicherkapazitaet", links: str = "VerknuepfteEinheit", key: str = "projectID") -> DataFrame:
     """Units with ``StorageCapacity``: each storage's volume shared evenly by the units its comma-separated text names."""
-    ids = F.filter(F.transform(F.split(links, ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(links, ","), lambda x: F.trim(x)), lambda x: x != "")
     shares = storage.withColumn("_ids", ids).filter(F.size("_ids") > 0).select(F.explode("_ids").alias(key), (F.col(volume) / F.size("_ids")).alias("_v"))
     return units.join(shares.groupBy(key).agg(F.sum("_v").alias("StorageCapacity")), key, "left")
 
