@@ -1,0 +1,99 @@
+import random
+
+import pytest
+
+
+def test_groups_equal_union_find(spark):
+    from regfuse.llm.components import match_groups
+
+    rnd = random.Random(5)
+    names = [f"n{i:03d}" for i in range(200)]
+    links = [(rnd.choice(names), rnd.choice(names)) for _ in range(120)] + [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(40)] + [("hub", f"h{i}") for i in range(60)] + [("self", "self"), (" n000 ", None), ("", "n001")]
+    df = spark.createDataFrame([(f" {a}\t" if a and i % 3 == 0 else a, b) for i, (a, b) in enumerate(links)], "projectid string, other_projectid string")
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a and b and a.strip() and b.strip():
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+    want = {x: min(y for y in up if find(y) == find(x)) for x in up}
+    assert {r.projectid: r.group_projectid for r in match_groups(df).collect()} == want
+    assert match_groups(df.limit(0)).count() == 0
+
+
+def test_survivors_and_truth(spark):
+    from pyspark.sql import functions as F
+
+    from regfuse.llm.truth import discover_truth, latest_survivors
+
+    rows = [(1, 10, "A", 5.0, 2000.0, "Wind", 50.0, 1.0, "2020-01-01"), (1, 11, "A", -1.0, 2001.0, "?", 0.0, 0.0, "2021-01-01"), (1, 12, "B", 5.0, None, "Wind", 51.0, 1.0, "2021-01-01"), (2, 13, "A", 1.0, 2000.0, "Oil", 50.0, 1.0, "2020-01-01"), (None, 14, "A", 1.0, 2000.0, "Oil", 50.0, 1.0, "2020-01-01")]
+    df = spark.createDataFrame(rows, "grouped bigint, row_id bigint, source_name string, capacity double, datein double, fueltype string, lat double, lon double, u string").withColumn("updated_at", F.to_timestamp("u"))
+    got = {(r.grouped, r.field_name): r.row_id for r in latest_survivors(df).collect()}
+    assert got == {(1, "capacity"): 12, (1, "datein"): 11, (1, "fueltype"): 12, (1, "lat"): 12}
+    out, trust = discover_truth(df, order=F.col("updated_at"))
+    best = {(r.g, r.field_name): r.value for r in out.collect()}
+    assert best[(1, "capacity")] == "5.0" and best[(1, "fueltype")] == "Wind" and all(0 < t < 1 for t in trust.values())
+
+
+def test_place_words():
+    from regfuse.llm.plants import places_match
+
+    same = [(("sunklun", "gromfal"), ("gromfal", "sunkli")), (("treldb.", "klernun"), ("treldbreld", "klernun")), (("klunlastgrom",), ("klunlast", "gromteld")), (("vunderbrast",), ("derbrast", "vungom")), (("sastmeld", "jundreld"), ("ssatmeld", "jundreld"))]
+    for a, b in same:
+        assert places_match(a, b) > 0.5, (a, b)
+    assert places_match(("sunklun", "gromfal"), ("berhom", "veldner")) == 0 and places_match((), ("a",)) == 0
+
+
+SCHEMA = "row_id bigint, source_name string, name string, fueltype string, technology string, country string, capacity double, lat double, lon double"
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "A", None, None, None, None, None, None, None), (2, "A", " ", "Wind", None, "DE", 1.0, 0.0, 0.0)]])
+def test_name_operators_on_little(spark, rows):
+    from regfuse.llm.variants import find_variants
+
+    assert find_variants(spark.createDataFrame(rows, SCHEMA)).count() == 0
+
+
+def test_variants(spark):
+    from regfuse.llm.variants import find_variants
+
+    rows = [(1, "A", "Kraftwerk Flombral Schalrin", "Oil", None, "Germany", 4.0, 50.2, 10.4), (2, "A", "Schalrin/Flomrbal, Power Plant", "Oil", None, "DE", 4.0, 50.21, 10.4), (3, "A", "Flombral Schalrin Nord", "Oil", None, "DE", 4.0, 50.2, 10.4), (4, "A", "Solarpark Flombral Schalrin", "Solar", None, "DE", 4.0, 50.2, 10.4), (5, "B", "Flombral Schalrin", "Oil", None, "DE", 4.0, 50.2, 10.4), (6, "A", "Kw. Flombral Schalrin Block 2", None, "Steam", "DE", None, None, None)]
+    got = {(r.row_id_one, r.row_id_two) for r in find_variants(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {(1, 2), (1, 6), (2, 6)} <= got and not {(1, 3), (1, 4), (1, 5), (2, 3)} & got
+
+
+def test_leaks(spark):
+    from regfuse.llm.leakage import find_leaks
+
+    passage = "Divers under the sealed gate of Braltunfor Dinhast counted 739 cracked signals and inspected 839 chalk marks by mistake near Serkomlast before the storm reached the valley"
+    items = spark.createDataFrame([(1, f"Read the passage.\n{passage}.\nHow many? Answer: 4"), (2, None)], "item_id bigint, text string")
+    ws = passage.split()
+    altered = " ".join(w for i, w in enumerate(ws) if i % 6 != 3)
+    docs = [(1, "Note. " + passage.upper()), (2, "x " + altered + " y"), (3, "Divers under the sealed gate of Braltunfor Dinhast is a quote."), (4, None), (5, ""), (6, "On " + "%20".join(ws))]
+    assert {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()} == {(1, 1), (2, 1), (6, 1)}
+
+
+def test_packing(spark):
+    from regfuse.llm.packing import lower_bound, pack
+
+    rnd = random.Random(2)
+    sizes = [(i, rnd.randint(1, 2000)) for i in range(500)] + [(900, 5000), (901, 0), (902, None), (903, 2048)]
+    out = pack(spark.createDataFrame(sizes, "doc_id bigint, tokens bigint")).collect()
+    used = {}
+    for r in out:
+        if r.container:
+            used[r.container] = used.get(r.container, 0) + r["size"]
+    assert max(used.values()) <= 2048 and sum(used.values()) == sum(s or 0 for _, s in sizes)
+    assert len([r for r in out if r.doc_id == 900]) == 3 and len(used) <= 1.05 * lower_bound([r["size"] for r in out if r.container], 2048)
+
+
+def test_residue_labels():
+    from regfuse.llm.residue import weak_label
+
+    assert all(weak_label(s) == 1 for s in ["The unit has {{CAPACITY}} MW.", "Error 503: resource moved.", "This page needs JavaScript.", "blah blah blah blah blah", "Run by [Name des Betreibers] since 1990."])
+    assert all(weak_label(s) == 0 for s in ["Signal set {13, 79} stays in use; limits are > 13 % and < 84 %.", "The old file spells it Foo [sic].", "Cookies were served to 50 guests.", "The control system returned error 404 for 6 minutes."])
