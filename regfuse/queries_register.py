@@ -144,7 +144,7 @@ _SIMILAR = """
 q AS (SELECT *, coalesce(country, '') AS b1, rawfuel AS b2, CASE WHEN length(fuel) < 2 THEN [fuel] ELSE list_distinct(list_transform(range(1, length(fuel)), lambda i: fuel[i:i+1])) END AS fq, CASE WHEN length(tech) < 2 THEN [tech] ELSE list_distinct(list_transform(range(1, length(tech)), lambda i: tech[i:i+1])) END AS tq, string_split(name, ' ') AS w FROM r),
 s AS (SELECT a.id AS id_a, b.id AS id_b,
  CASE WHEN a.name = b.name THEN 1.0 WHEN len(a.w) <= len(b.w) THEN list_avg(list_transform(a.w, lambda x: list_max(list_transform(b.w, lambda y: jaro_winkler_similarity(x, y))))) ELSE list_avg(list_transform(b.w, lambda x: list_max(list_transform(a.w, lambda y: jaro_winkler_similarity(x, y))))) END AS s_name,
- CASE WHEN a.fuel = b.fuel THEN 1.0 ELSE len(list_intersect(a.fq, b.fq)) / least(len(a.fq), len(b.fq))::DOUBLE END AS s_fuel, CASE WHEN a.tech = b.tech THEN 1.0 ELSE len(list_intersect(a.tq, b.tq)) / least(len(a.tq), len(b.tq))::DOUBLE END AS s_tech,
+ CASE WHEN a.fuel IS NULL OR b.fuel IS NULL THEN NULL WHEN a.fuel = b.fuel THEN 1.0 ELSE len(list_intersect(a.fq, b.fq)) / least(len(a.fq), len(b.fq))::DOUBLE END AS s_fuel, CASE WHEN a.tech IS NULL OR b.tech IS NULL THEN NULL WHEN a.tech = b.tech THEN 1.0 ELSE len(list_intersect(a.tq, b.tq)) / least(len(a.tq), len(b.tq))::DOUBLE END AS s_tech,
  CASE WHEN a.country = b.country THEN 1.0 END AS s_country, CASE WHEN a.capacity IS NULL OR b.capacity IS NULL OR a.capacity = 0 OR b.capacity = 0 THEN NULL WHEN a.capacity * b.capacity < 0 THEN 0.0 ELSE least(abs(a.capacity), abs(b.capacity)) / greatest(abs(a.capacity), abs(b.capacity)) END AS s_cap,
  CASE WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL THEN greatest(0.0, 1 - 2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) / 5.0) END AS s_geo
  FROM q a JOIN q b ON a.b1 = b.b1 AND a.b2 = b.b2 AND {on}),
