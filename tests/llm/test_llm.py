@@ -97,3 +97,27 @@ def test_residue_labels():
 
     assert all(weak_label(s) == 1 for s in ["The unit has {{CAPACITY}} MW.", "Error 503: resource moved.", "This page needs JavaScript.", "blah blah blah blah blah", "Run by [Name des Betreibers] since 1990."])
     assert all(weak_label(s) == 0 for s in ["Signal set {13, 79} stays in use; limits are > 13 % and < 84 %.", "The old file spells it Foo [sic].", "Cookies were served to 50 guests.", "The control system returned error 404 for 6 minutes."])
+
+
+STEMS = ["brunfal", "klermond", "stoldrin", "dolmarek", "tregmald", "gromfeld", "norvist", "pelgrath", "jundresk", "halvorm"]
+
+
+def _registers(alter):
+    """Plants of two place words without positions in one register and as ``alter`` spells them in another."""
+    pairs = [(x, y) for i, x in enumerate(STEMS) for y in (STEMS[(i + 1) % 10], STEMS[(i + 3) % 10], STEMS[(i + 4) % 10])]
+    rows = [(i, "A", f"{x} {y}", "Oil", None, "DE", 50.0, None, None) for i, (x, y) in enumerate(pairs)]
+    return rows + [(1000 + i, "B", alter(x, y), "Oil", None, "DE", 50.0, None, None) for i, (x, y) in enumerate(pairs)]
+
+
+def _swapped(w):
+    return w[:3] + w[4] + w[3] + w[5:]
+
+
+def test_matches_do_not_depend_on_the_size(spark, monkeypatch):
+    from regfuse.llm import entities
+
+    plan = entities.table_plan
+    monkeypatch.setattr(entities, "table_plan", lambda rows: plan(6_000_000))
+    for alter in (lambda x, y: f"{x} {_swapped(y)}", lambda x, y: f"{x} {y[:4]}."):
+        got = {(r.row_id_one, r.row_id_two) for r in entities.find_matches(spark.createDataFrame(_registers(alter), SCHEMA)).collect()}
+        assert len({(i, 1000 + i) for i in range(30)} & got) == 30
