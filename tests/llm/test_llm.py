@@ -121,3 +121,17 @@ def test_matches_do_not_depend_on_the_size(spark, monkeypatch):
     for alter in (lambda x, y: f"{x} {_swapped(y)}", lambda x, y: f"{x} {y[:4]}."):
         got = {(r.row_id_one, r.row_id_two) for r in entities.find_matches(spark.createDataFrame(_registers(alter), SCHEMA)).collect()}
         assert len({(i, 1000 + i) for i in range(30)} & got) == 30
+
+
+def test_matches_recall_against_brute_force(spark):
+    from regfuse.llm.entities import find_matches
+    from regfuse.llm.plants import places_match, prepare
+
+    rows = _registers(lambda x, y: f"{_swapped(x)} {y[:2] + y[3:]}")
+    rows += [(2000 + i, s, w, "Wind", None, "DE", 5.0, None, None) for i, x in enumerate(STEMS) for s, w in (("A", x + "berg"), ("B", _swapped(x) + "berg"))]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = prepare(df).df.collect()
+    want = {(a.id, b.id) for a in kept for b in kept if a.id < b.id and a.source != b.source and a.fuel == b.fuel and a.qual == b.qual and places_match(tuple(a.places), tuple(b.places)) >= 0.9}
+    got = {(r.row_id_one, r.row_id_two) for r in find_matches(df).collect()}
+    assert len(want) >= 40 and len(want & got) >= 0.99 * len(want)
