@@ -135,3 +135,20 @@ def test_matches_recall_against_brute_force(spark):
     want = {(a.id, b.id) for a in kept for b in kept if a.id < b.id and a.source != b.source and a.fuel == b.fuel and a.qual == b.qual and places_match(tuple(a.places), tuple(b.places)) >= 0.9}
     got = {(r.row_id_one, r.row_id_two) for r in find_matches(df).collect()}
     assert len(want) >= 40 and len(want & got) >= 0.99 * len(want)
+
+
+def test_calibration_weighs_drawn_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from regfuse.llm import entities
+
+    # of 3,200 pairs of other places one in 16 is drawn; matches and others overlap in cosine
+    rnd = random.Random(3)
+    rows = [(i, 10_000 + i, min(1.0, max(0.0, rnd.gauss(0.75 if i % 5 == 0 else 0.5, 0.12))), 1.0 if i % 5 == 0 else 0.0) for i in range(4000)]
+    full = spark.createDataFrame(rows, "one bigint, other bigint, cosine double, agreement double").withColumns({"km": F.lit(1.0), "ratio": F.lit(0.2), "fuel": F.lit(1.0)})
+    drawn = full.filter((F.col("agreement") > 0) | (F.pmod(F.xxhash64("one", "other"), F.lit(entities.NEGATIVE_SHARE)) == 0))
+    got = entities._calibrate(drawn)[0]
+    monkeypatch.setattr(entities, "NEGATIVE_SHARE", 1)
+    want = entities._calibrate(full)[0]
+    for cosine in (0.55, 0.65, 0.75):
+        assert abs((got - want) @ [1, cosine, 0.2]) < 0.7
