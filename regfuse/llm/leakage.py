@@ -9,6 +9,7 @@ share enough seeds in one region a local alignment of words decides.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,13 +26,12 @@ from regfuse.session import Cut, maybe_broadcast
 #: Offsets of the words a mask picks.
 MASKS = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 3, 4), (0, 2, 4)]
 BITS = 1 << 22
-#: Items that may share a seed.
-MAX_SHARED = 2
 #: Seeds in one region that make a document and an item a candidate; a region is this many words of shift.
 MIN_SEEDS, REGION = 2, 40
 #: A leak: at least so many words agree in order, over so many words of the passage, in such a share of them,
-#: of which so many are words that at most two items use.
-MIN_MATCHES, MIN_SPAN, MIN_SHARE, MIN_RARE = 11, 14, 0.5, 2
+#: of which so many are words that at most two items use, or else with so much rarity in all (a word of one item counts 1,
+#: a word of all items 0) and no other item that agrees better there.
+MIN_MATCHES, MIN_SPAN, MIN_SHARE, MIN_RARE, MIN_SCORE = 11, 14, 0.5, 2, 2.4
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -76,17 +76,21 @@ def passages(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
     """Each item's own words: without what several items share (instructions, labels) and without its question.
 
     A sentence is shared if, with capitalised words and numbers blanked out, three items or a hundredth of them
-    have it, or one in twenty short sentences."""
+    have it, or one in twenty short sentences. One with two names or numbers that all of them have alike is no
+    pattern, but a passage that stands under several items."""
     cut = {i: [s for s in _SENTENCE.split(t or "") if s.strip()] for i, t in items}
     blank = lambda s: " ".join(re.sub(r"(?<!^)\b[A-Z]\w*|\d+", "#", s).lower().split())
     seen: dict[str, set[int]] = {}
+    wordings: dict[str, set[str]] = {}
     for i, ss in cut.items():
         for s in ss:
             seen.setdefault(blank(s), set()).add(i)
+            wordings.setdefault(blank(s), set()).add(s.strip())
+    copied = lambda b: b.count("#") >= 2 and len(wordings[b]) == 1
     least = max(3, len(items) // 100)
     out = {}
     for i, ss in cut.items():
-        own = [s for s in ss if len(seen[blank(s)]) < least and not s.rstrip().endswith(("?", ":")) and len(words(s)) > 3]
+        own = [s for s in ss if (len(seen[blank(s)]) < least or copied(blank(s))) and not s.rstrip().endswith(("?", ":")) and len(words(s)) > 3]
         out[i] = words(" ".join(own))
     return out
 
@@ -110,8 +114,9 @@ def _slot(seeds: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(42)).astype(np.int64)
 
 
-def align(doc: np.ndarray, item: np.ndarray, rare: np.ndarray) -> tuple[int, int, int, int]:
-    """Best local alignment of two word-number sequences: (matches, span in the item, span in the document, rare matches).
+def align(doc: np.ndarray, item: np.ndarray, weight: np.ndarray) -> tuple[int, int, int, float, int]:
+    """Best local alignment of two word-number sequences: (matches, span in the item, span in the document, weight of the
+    matched words, first word in the document).
 
     A match counts 2, a substitution, insertion or omission costs 1."""
     n, m = len(doc), len(item)
@@ -124,22 +129,22 @@ def align(doc: np.ndarray, item: np.ndarray, rare: np.ndarray) -> tuple[int, int
         k = np.arange(1, m + 1)
         score[i, 1:] = np.maximum(np.maximum.accumulate(row + k) - k, 0)
     i, j = np.unravel_index(int(score.argmax()), score.shape)
-    ei, ej, matches, rares = i, j, 0, 0
+    ei, ej, matches, total = i, j, 0, 0.0
     while i > 0 and j > 0 and score[i, j] > 0:
         if score[i, j] == score[i - 1, j - 1] + (2 if eq[i - 1, j - 1] else -1):
             if eq[i - 1, j - 1]:
                 matches += 1
-                rares += bool(rare[j - 1])
+                total += weight[j - 1]
             i, j = i - 1, j - 1
         elif score[i, j] == score[i - 1, j] - 1:
             i -= 1
         else:
             j -= 1
-    return matches, int(ej - j), int(ei - i), rares
+    return matches, int(ej - j), int(ei - i), total, int(i)
 
 
-def is_leak(matches: int, span: int, doc_span: int, rares: int) -> bool:
-    return matches >= MIN_MATCHES and span >= MIN_SPAN and matches >= MIN_SHARE * span and matches >= MIN_SHARE * doc_span and rares >= MIN_RARE
+def is_leak(matches: int, span: int, doc_span: int, rares: int, score: float) -> bool:
+    return matches >= MIN_MATCHES and span >= MIN_SPAN and matches >= MIN_SHARE * span and matches >= MIN_SHARE * doc_span and (rares >= MIN_RARE or score >= MIN_SCORE)
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -163,16 +168,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     numbered = {i: np.array([vocabulary[w] for w in ws], dtype=np.int64) for i, ws in own.items() if len(ws) >= MIN_SPAN}
     bits = np.zeros(BITS, dtype=bool)
     placed = {i: _seeds(ids, base) for i, ids in numbered.items()}
-    shared: dict[int, int] = {}
-    for seeds, _ in placed.values():
-        for s in set(seeds.tolist()):
-            shared[s] = shared.get(s, 0) + 1
     seed_rows: list[tuple] = []
     for i, (seeds, at) in placed.items():
-        # seeds that many items share (phrases of the test's own style) tell no item from another
-        kept = [(int(s), i, int(p)) for s, p in zip(seeds, at) if shared[int(s)] <= MAX_SHARED]
-        seed_rows += kept
-        bits[_slot(np.array([s for s, _, _ in kept], dtype=np.int64))] = True
+        seed_rows += [(int(s), i, int(p)) for s, p in zip(seeds, at)]
+        bits[_slot(seeds)] = True
     doc_type = documents.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", doc_type), T.StructField("item_id", id_type), T.StructField("matches", T.IntegerType()), T.StructField("span", T.IntegerType()), T.StructField("doc_span", T.IntegerType())])
     if not seed_rows:
@@ -202,21 +201,29 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     # a region at the border of two shifts counts for both
     regions = joined.select("_d", "item_id", F.explode(F.array("shift", F.col("shift") + 1)).alias("shift"), "at")
     near = regions.groupBy("_d", "item_id", "shift").agg(F.countDistinct("at").alias("n"), F.min("at").alias("first"), F.max("at").alias("last")).filter(F.col("n") >= MIN_SEEDS)
-    table_of = {i: (ids, np.array([used[int(k)] <= 2 for k in ids])) for i, ids in numbered.items()}
+    # a rare word's weight has a whole part of 1000 besides its rarity: both sums come out of one alignment
+    rarity = {k: 1 - math.log(n) / math.log(1 + len(own)) + 1000 * (n <= 2) for k, n in used.items()}
+    table_of = {i: (ids, np.array([rarity[int(k)] for k in ids])) for i, ids in numbered.items()}
+    verified = T.StructType([*schema.fields, T.StructField("rare", T.BooleanType()), T.StructField("start", T.IntegerType())])
     all_items = spark.sparkContext.broadcast(table_of)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for d, i, first, last, ids in zip(pdf["_d"], pdf["item_id"], pdf["first"], pdf["last"], pdf["ids"]):
-                item, rare = all_items.value[i]
+                item, weight = all_items.value[i]
                 ids = np.asarray(ids, dtype=np.int64)
                 a, b = max(0, first - len(item) - REGION), min(len(ids), last + len(item) + REGION)
-                matches, span, doc_span, rares = align(ids[a:b], item, rare)
-                if is_leak(matches, span, doc_span, rares):
-                    out.append((d, i, matches, span, doc_span))
-            yield pd.DataFrame(out, columns=[f.name for f in schema])
-
-    good = near.join(found.select("_d", "ids"), "_d").select("_d", "item_id", "first", "last", "ids").mapInPandas(verify, schema)
+                matches, span, doc_span, total, start = align(ids[a:b], item, weight)
+                rares, score = divmod(total, 1000)
+                if is_leak(matches, span, doc_span, rares, score):
+                    out.append((d, i, matches, span, doc_span, rares >= MIN_RARE, a + start))
+            yield pd.DataFrame(out, columns=[f.name for f in verified])
+
+    good = Cut(near.join(found.select("_d", "ids"), "_d").select("_d", "item_id", "first", "last", "ids").mapInPandas(verify, verified), "leaks").df
+    # words of the test's own style agree with several items: without rare words the best one counts
+    other = good.select(F.col("doc_id").alias("_d"), F.col("matches").alias("_m"), F.col("start").alias("_s"), F.col("doc_span").alias("_n"))
+    beaten = (F.col("doc_id") == F.col("_d")) & (F.col("_m") > F.col("matches")) & (F.col("_s") < F.col("start") + F.col("doc_span")) & (F.col("start") < F.col("_s") + F.col("_n"))
+    good = good.filter("rare").unionByName(good.filter("not rare").join(other, beaten, "left_anti"))
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("matches", "span", "doc_span")).alias("x"))
     return best.select(F.col("doc_id").alias(doc_id), F.col("item_id"), "x.matches", "x.span", "x.doc_span")

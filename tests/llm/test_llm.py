@@ -152,3 +152,18 @@ def test_calibration_weighs_drawn_pairs(spark, monkeypatch):
     want = entities._calibrate(full)[0]
     for cosine in (0.55, 0.65, 0.75):
         assert abs((got - want) @ [1, cosine, 0.2]) < 0.7
+
+
+def test_leaks_of_shared_words_and_copies(spark):
+    from regfuse.llm.leakage import find_leaks
+
+    # item 1 has no word of its own: three others use each of its words, in other orders
+    ws = "divers under the sealed gate counted cracked signals and inspected chalk marks by mistake near shore before every storm reached this valley again".split()
+    rnd = random.Random(4)
+    others = [rnd.sample(ws, len(ws)) for _ in range(3)]
+    copy = "Crews from Braltunfor and Dinhast moved 739 old crates past Serkomlast while 15 inspectors wrote long reports on rusty pumps and broken valves"
+    items = [(i, " ".join(x)) for i, x in enumerate([ws, *others], 1)] + [(i, f"{copy}.\nTask {i}?") for i in (11, 12, 13)]
+    altered = ["zzz" if i % 4 == 2 else w for i, w in enumerate(ws)]
+    docs = [(1, " ".join(ws)), (2, "Note " + " ".join(altered) + " end"), (3, copy)]
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 11), (3, 12), (3, 13)}
