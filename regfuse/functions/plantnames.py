@@ -152,18 +152,30 @@ def parsed(name: str | Column, drop: frozenset[str] = frozenset()) -> Column:
     return run(F.col(name) if isinstance(name, str) else name)
 
 
-def company_words(places: DataFrame, min_share: float = 0.0005, min_rows: int = 8, spread: float = 1.2) -> frozenset[str]:
-    """Words of names that belong to companies: frequent ones that stand beside ever different other words.
-
-    ``places`` has one column ``places`` of :func:`parse`. Counts run over all rows; at most 3/min_share words reach
-    the driver. A word is a company's if its distinct companions are at least ``spread`` times its rows, which no
-    place reaches, however many units it has."""
-    rows = places.count()
-    words = places.select(F.explode(F.array_distinct("places")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    frequent = {r.w: r.n for r in words.filter(F.col("n") >= max(min_rows, min_share * rows)).collect()}
-    if not frequent:
-        return frozenset()
-    beside = places.filter(F.arrays_overlap("places", F.array(*[F.lit(w) for w in frequent]))).select(F.explode(F.array_distinct("places")).alias("w"), "places")
-    beside = beside.filter(F.col("w").isin(list(frequent))).select("w", F.explode("places").alias("o")).filter(F.col("o") != F.col("w"))
-    spreads = beside.groupBy("w").agg(F.approx_count_distinct("o", 0.02).alias("d")).collect()
-    return frozenset(r.w for r in spreads if r.d >= spread * frequent[r.w])
+def parsed_text(name: str | Column) -> Column:
+    """:func:`parsed` with the place words in one string, a blank between them."""
+
+    @F.pandas_udf("struct<places:string,qual:string,kind:string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            rows = [parse(n) for n in s]
+            yield pd.DataFrame({"places": [" ".join(r[0]) for r in rows], "qual": [r[1] for r in rows], "kind": [r[2] for r in rows]})
+
+    return run(F.col(name) if isinstance(name, str) else name)
+
+
+def company_words(places: DataFrame, min_rows: int = 8, spread: float = 1.2) -> frozenset[str]:
+    """Words of names that belong to companies: they stand beside ever different other words.
+
+    ``places`` has one column ``places``, an array of place words. A company's name stands beside two or more words, so
+    only words found in ``min_rows`` rows of three or more words are looked at (the least evidence, whatever the size
+    of the table); for those, all rows are counted. A word is a company's if its distinct companions are at least
+    ``spread`` times its rows, which no place reaches, however many units it has. Companies are few: the result is a
+    set of words in the driver, everything before it stays in the cluster."""
+    listed = places.select(F.array_distinct("places").alias("places"))
+    often = listed.filter(F.size("places") >= 3).select(F.explode("places").alias("w")).groupBy("w").count().filter(F.col("count") >= min_rows).select("w")
+    beside = listed.select(F.explode("places").alias("w"), "places").join(often, "w", "left_semi")
+    pairs = beside.select("w", F.explode("places").alias("o")).groupBy("w", "o").count()
+    # a word stands beside itself in each of its rows
+    sums = pairs.groupBy("w").agg(F.sum(F.when(F.col("w") == F.col("o"), F.col("count"))).alias("n"), (F.count(F.lit(1)) - 1).alias("d"))
+    return frozenset(r.w for r in sums.filter(F.col("d") >= spread * F.col("n")).toLocalIterator())
