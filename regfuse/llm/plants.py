@@ -1,4 +1,16 @@
-"""Rows of registers prepared for matching, and the exact comparison of two of them."""
+"""Rows of registers prepared for matching, keys under which rows of one plant meet, and the exact comparison of two.
+
+*Keys.* Two names of one plant share a place word, or agree in half of each of two words. The index therefore holds
+every place word whole, and for every two words of a name what is left if of each all but its first two or all but its
+last three letters are deleted: an edit, abbreviation, short form or misread letter leaves one of the two as it is, so
+that both sides keep the same. A name that runs two words together is indexed under its beginning and each
+two letters that can begin its second word. Keys carry what must be equal (qualifier, in the halves the country too); a
+row of unknown country meets others by whole words in any country and by first halves in each.
+
+*Join.* What cannot be one plant by country, fuel or position is dropped in the join itself, so a bucket's pairs never
+leave its task unless they may match; adaptive execution splits hot buckets. Keys depend on the two rows only: the same
+pairs meet whatever the number of rows.
+"""
 
 from __future__ import annotations
 
@@ -8,102 +20,164 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regfuse.functions.cells import haversine_km
 from regfuse.functions.missing import capacity_missing, lat_missing, lon_missing
-from regfuse.functions.plantnames import company_words, one_edit, parsed
-from regfuse.functions.vocab import country_code, fuel_class
+from regfuse.functions.plantnames import company_words, one_edit, parsed_text
+from regfuse.functions.vocab import COUNTRIES, FUEL_WORDS, country_code, fuel_class
 from regfuse.session import Cut
 
 #: Names that only may be one are taken for one at so many kilometres.
 CLOSE_KM = 3.0
 #: Records of one plant lie no farther apart (blocks, other entrances, coarse coordinates).
 PLANT_KM = 6.0
+#: Letters of a word's head and tail.
+HEAD, TAIL = 2, 3
 
 
-def prepare(plants: DataFrame) -> Cut:
-    """The registers' rows as ``id, source, name, cc, fuel, qual, places, lat, lon, cap``, written once.
-
-    Names are parsed twice, as company words are found in the parsed names of all rows. A missing country is the
-    one that most rows with the same place words have, else that of most rows of the same half-degree cell."""
+def prepare(plants: DataFrame) -> tuple[Cut, DataFrame]:
+    """The registers' rows as ``id, source, name, cc, fuel, qual, places, lat, lon, cap``, written once; ``places`` is a
+    text of the name's place words. ``name`` is a hash; an unknown country, fuel, capacity or position is null."""
+    known = ~lat_missing() & ~lon_missing()
     clean = plants.select(
         F.col("row_id").alias("id"),
         F.coalesce("source_name", F.lit("")).alias("source"),
-        "name",
+        F.xxhash64("name").alias("name"),
         country_code("country").alias("cc"),
         fuel_class("fueltype", "technology").alias("fuel"),
-        F.when(~lat_missing() & ~lon_missing(), F.col("lat")).alias("lat"),
-        F.when(~lat_missing() & ~lon_missing(), F.col("lon")).alias("lon"),
+        F.when(known, F.col("lat")).alias("lat"),
+        F.when(known, F.col("lon")).alias("lon"),
         F.when(~capacity_missing(), F.col("capacity")).alias("cap"),
-        parsed("name").alias("n"),
+        parsed_text("name").alias("n"),
     )
-    first = Cut(clean.select("*", "n.*").drop("n"), "plants")
-    drop = company_words(first.df.select("places"))
-    places = F.col("places")
+    kind = F.nullif("n.kind", F.lit(""))
+    kept = Cut(clean.select("*", "n.places", "n.qual", F.coalesce("fuel", kind).alias("_fuel")).drop("n", "fuel").withColumnRenamed("_fuel", "fuel"), "plants")
+    words = F.split("places", " ")
+    rows = kept.df
+    drop = company_words(rows.select(words.alias("places")))
     if drop:
-        places = F.filter(places, lambda x: ~x.isin(list(drop)))
-    rows = first.df.withColumn("places", places).withColumn("fuel", F.coalesce("fuel", F.when(F.col("kind") != "", F.col("kind")))).drop("kind")
-    cell = F.struct(F.floor(F.col("lat") * 2).alias("y"), F.floor(F.col("lon") * 2).alias("x"))
-    core = F.array_join(F.array_sort("places"), " ")
-    lost = rows.filter(F.col("cc").isNull())
-    if lost.limit(1).count():
-        # the most frequent country of each cell and of each core: counted with map-side combining
-        by_cell = _mode(rows.filter("cc is not null and lat is not null"), cell)
-        wanted = lost.select(core.alias("k")).distinct()
-        by_core = _mode(rows.filter("cc is not null").join(wanted, core == F.col("k"), "left_semi"), core)
-        found = lost.withColumn("_c", cell).withColumn("_k", core).join(by_cell.toDF("_c", "cc1"), "_c", "left").join(by_core.toDF("_k", "cc2"), "_k", "left")
-        found = found.withColumn("cc", F.coalesce("cc2", "cc1"))
-        rows = rows.filter("cc is not null").unionByName(found.select(rows.columns))
-    out = Cut(rows.withColumn("cc", F.coalesce("cc", F.lit(""))), "rows")
-    first.drop()
+        rows = rows.withColumn("places", F.array_join(F.filter(words, lambda x: ~x.isin(sorted(drop))), " "))
+    return kept, rows.filter("places <> ''")
+
+
+# Numbers of countries and fuel classes, from 1; 0 is unknown.
+_CC = {a: i + 1 for i, (a, _, _) in enumerate(COUNTRIES)}
+_FUELS = {f: i + 1 for i, f in enumerate(FUEL_WORDS)}
+#: Kilometres a degree of latitude has, and the coordinate that stands for an unknown position.
+DEGREE_KM, NOWHERE = 111.195, -1e9
+#: What every row has under its keys.
+PAYLOAD = ("id", "source", "class", "y", "x", "c", "w1", "w2", "rest", "begin")
+
+
+def _number(values: dict[str, int], c: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(c)), F.lit(0))
+
+
+def _payload(words: DataFrame) -> list[Column]:
+    """``class``: country and fuel; ``y, x``: the position in kilometres at the equator, ``c``: the cosine of its latitude;
+    ``begin``: the first three letters of both words of a name of two whole words, else 0."""
+    km = lambda c: F.coalesce(F.col(c) * DEGREE_KM, F.lit(NOWHERE))
+    plain = (F.col("w1") != "") & (F.col("w2") != "") & (F.col("rest") == "") & ~F.contains("places", F.lit("."))
+    begin = lambda c: F.pmod(F.hash(F.substring(c, 1, 3)), F.lit(0x7FFF)) + 1
+    return [F.col("id"), F.col("source"), (_number(_CC, "cc") * 32 + _number(_FUELS, "fuel")).alias("class"), km("lat").alias("y"), km("lon").alias("x"), F.coalesce(F.cos(F.radians("lat")), F.lit(1.0)).alias("c"), F.col("w1"), F.col("w2"), F.col("rest"), F.when(plain, begin("w1") * 65536 + begin("w2")).otherwise(F.lit(0)).alias("begin")]
+
+
+def _km2() -> Column:
+    dy, dx = F.col("a_y") - F.col("b_y"), (F.col("a_x") - F.col("b_x")) * (F.col("a_c") + F.col("b_c")) * 0.5
+    return dy * dy + dx * dx
+
+
+def _placed() -> Column:
+    return (F.col("a_y") > NOWHERE) & (F.col("b_y") > NOWHERE)
+
+
+def index_keys(rows: DataFrame, same_source: bool, extra: dict[str, Column]) -> DataFrame:
+    """Rows under their keys: ``key``, those of PAYLOAD and of ``extra``."""
+    own = [F.col("qual"), *([F.col("source")] if same_source else [])]
+    cc = F.col("cc")
+    key = lambda kind, *parts: F.xxhash64(F.lit(kind), *own, *parts)
+    bare = F.col("bare")
+    head = lambda w: F.substring(w, 1, HEAD)
+    tail = lambda w: F.substring(w, -TAIL, TAIL)
+
+    def heads(x: Column, y: Column, country: Column) -> Column:
+        return key("heads", country, F.least(x, y), F.greatest(x, y))
+
+    def two(x: Column, y: Column) -> list[Column]:
+        """Keys of the halves of two words, in either order alike."""
+        tails = key("tails", cc, F.least(tail(x), tail(y)), F.greatest(tail(x), tail(y)))
+        return [heads(head(x), head(y), cc), tails, key("mixed", cc, head(x), tail(y)), key("mixed", cc, head(y), tail(x))]
+
+    def glued(country: Column) -> Column:
+        """First halves of the words that a single one may run together."""
+        w = F.element_at(bare, 1)
+        starts = F.sequence(F.lit(4), F.length(w) - 1)
+        return F.when((F.size(bare) == 1) & (F.length(w) >= 7), F.transform(starts, lambda k: heads(head(w), w.substr(k, F.lit(HEAD)), country))).otherwise(F.array().cast("array<bigint>"))
+
+    first, second = F.element_at(bare, 1), F.try_element_at(bare, F.lit(2))
+    single = F.array(key("head", cc, F.substring(first, 1, HEAD + 1)), key("tail", cc, F.substring(first, -TAIL, TAIL)))
+    # lists of three and more words are rare: every two of them
+    several = F.flatten(F.transform(bare, lambda x, i: F.flatten(F.transform(bare, lambda y, j: F.when(i < j, F.array(*two(x, y))).otherwise(F.array().cast("array<bigint>"))))))
+    wholes = F.transform(bare, lambda w: key("word", w))
+    listed = F.split("places", " ")
+    at = lambda i: F.coalesce(F.try_element_at(listed, F.lit(i)), F.lit(""))
+    rest = F.when(F.size(listed) > 2, F.array_join(F.slice(listed, 3, F.size(listed)), " ")).otherwise(F.lit(""))
+    words = rows.withColumns({"w1": at(1), "w2": at(2), "rest": rest, "bare": F.split(F.replace(F.col("places"), F.lit("."), F.lit("")), " ")})
+    payload = [*_payload(words), *[c.alias(k) for k, c in extra.items()]]
+    n = F.size(bare)
+    known = F.when(n == 2, F.array(key("word", first), key("word", second), *two(first, second))).when(n == 1, F.concat(F.array(key("word", first)), single, glued(cc))).otherwise(F.concat(wholes, several))
+    # a row of unknown country: whole words tell no country, heads are put under every one and under none
+    countries = F.array(*[F.lit(c) for c in [*_CC, ""]])
+    all_heads = F.transform(bare, lambda x, i: F.flatten(F.transform(bare, lambda y, j: F.when(i < j, F.transform(countries, lambda c: heads(head(x), head(y), c))).otherwise(F.array().cast("array<bigint>")))))
+    anywhere = F.concat(wholes, F.flatten(all_heads), F.flatten(F.transform(countries, glued)))
+    out = None
+    for part, keys in ((words.filter("cc is not null"), known), (words.filter("cc is null"), anywhere)):
+        part = part.select(*payload, F.explode(F.array_distinct(keys)).alias("key"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def _mode(df: DataFrame, key: Column) -> DataFrame:
-    return df.groupBy(key.alias("k"), "cc").count().groupBy("k").agg(F.max_by("cc", F.struct("count", "cc")).alias("cc"))
-
-
-def packed_info(source: Column, qual: Column) -> Column:
-    """What decides whether rows ``lat, lon, fuel`` can be one plant, in one number for the join on hash keys.
-
-    From the low end: longitude and latitude in hundredths of a degree (16 and 15 bits, 0: unknown), fuel (8 bits, 0:
-    unknown), qualifier (8 bits), register (12 bits). Hashed parts only ever let too many pairs pass."""
-    small = lambda c, bits: F.pmod(F.xxhash64(c), F.lit((1 << bits) - 1)) + 1
-    x, y = F.round((F.col("lon") + 180) * 100).cast("bigint") + 1, F.round((F.col("lat") + 90) * 100).cast("bigint") + 1
-    place = F.coalesce(x + F.shiftleft(y, 16), F.lit(0))
-    fuel = F.when(F.col("fuel").isNotNull(), small(F.col("fuel"), 8)).otherwise(F.lit(0))
-    return place + F.shiftleft(fuel, 31) + F.shiftleft(small(qual, 8), 39) + F.shiftleft(small(source, 12), 47)
-
-
-def meeting(keys: DataFrame, same_source: bool) -> DataFrame:
-    """Distinct pairs of ids (``one`` < ``other``) that share a key and can be one plant by :func:`packed_info`.
-
-    The checks are part of the join: a bucket's pairs are counted in its task and only possible ones leave it."""
-    a, b = (keys.select([F.col(c).alias(p + c) for c in ("key", "id", "info")]) for p in ("a_", "b_"))
-    part = lambda p, at, bits: F.shiftright(F.col(p + "info"), at).bitwiseAND(F.lit((1 << bits) - 1))
-    source = part("a_", 47, 12) == part("b_", 47, 12)
-    fuel = (part("a_", 31, 8) == part("b_", 31, 8)) | (part("a_", 31, 8) == 0) | (part("b_", 31, 8) == 0)
-    y1, y2, x1, x2 = (part(p, at, bits) for at, bits in ((16, 15), (0, 16)) for p in ("a_", "b_"))
-    dy, dx = (y1 - y2) * 1.112, (x1 - x2) * 1.112 * F.cos(F.radians((y1 - 1) / 100.0 - 90))
-    # rounding moves each position by up to 0.8 km
-    near = (y1 == 0) | (y2 == 0) | (dy * dy + dx * dx <= (PLANT_KM + 1.6) ** 2)
-    on = (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & (source if same_source else F.lit(True)) & (part("a_", 39, 8) == part("b_", 39, 8)) & fuel & near
-    return a.join(b, on).select(F.col("a_id").alias("one"), F.col("b_id").alias("other")).distinct()
-
+def meeting(keys: DataFrame, same_source: bool, extra: list[str], apart_share: int = 0) -> DataFrame:
+    """Pairs of rows that share a key and may be one plant: ``one`` < ``other``, ``km`` (null: unknown), ``a_places,
+    b_places`` and the columns of ``extra`` under both prefixes. A pair comes once for each key it shares.
+
+    With ``apart_share`` one in so many of the pairs that lie too far apart comes too (as known strangers). The
+    condition is kept small, so that its code is compiled."""
+    sides = [keys.select([F.col(c).alias(p + c) for c in ("key", *PAYLOAD, *extra)]) for p in ("a_", "b_")]
+    a, b = F.col("a_class"), F.col("b_class")
+    either = lambda x, y: (x == y) | (x == 0) | (y == 0)
+    kind = (a == b) | (either(a.bitwiseAND(31), b.bitwiseAND(31)) & either(F.shiftright(a, 5), F.shiftright(b, 5)))
+    source = F.col("a_source") == F.col("b_source") if same_source else F.col("a_source") != F.col("b_source")
+    near = ~_placed() | (_km2() <= PLANT_KM**2)
+    if apart_share:
+        near = near | (F.pmod(F.xxhash64("a_id", "b_id"), F.lit(apart_share)) == 0)
+    met = sides[0].join(sides[1], (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & source & kind & near & may_agree())
+    places = [F.rtrim(F.concat_ws(" ", p + "w1", p + "w2", p + "rest")).alias(p + "places") for p in ("a_", "b_")]
+    return met.select(F.col("a_id").alias("one"), F.col("b_id").alias("other"), F.when(_placed(), F.sqrt(_km2())).alias("km"), *places, *[p + c for p in ("a_", "b_") for c in extra])
+
+
+def may_agree() -> Column:
+    """A cheap condition that all pairs with agreeing place words fulfil: they lie close together, or two names of two
+    whole words each have an order in which both words begin alike or are within three edits."""
+    a1, a2, b1, b2, a, b = (F.col(c) for c in ("a_w1", "a_w2", "b_w1", "b_w2", "a_begin", "b_begin"))
+    one, two = (lambda v: F.shiftright(v, 16)), (lambda v: v.bitwiseAND(0xFFFF))
+    within = lambda v, w: F.levenshtein(v, w, 3) >= 0
+    straight = ((one(a) == one(b)) | within(a1, b1)) & ((two(a) == two(b)) | within(a2, b2))
+    crossed = ((one(a) == two(b)) | within(a1, b2)) & ((two(a) == one(b)) | within(a2, b1))
+    return (a == 0) | (b == 0) | (_placed() & (_km2() <= CLOSE_KM**2)) | straight | crossed
 
-def compatible(a: str, b: str) -> Column:
-    """Whether rows with column prefixes ``a`` and ``b`` can be one plant by qualifier, fuel and position."""
-    fuel = (F.col(a + "fuel") == F.col(b + "fuel")) | F.col(a + "fuel").isNull() | F.col(b + "fuel").isNull()
-    return (F.col(a + "qual") == F.col(b + "qual")) & fuel & F.coalesce(distance(a, b) <= PLANT_KM, F.lit(True))
 
-
-def distance(a: str, b: str) -> Column:
-    """Kilometres between rows with column prefixes ``a`` and ``b``; null where a position is missing."""
-    return haversine_km(F.col(a + "lat"), F.col(a + "lon"), F.col(b + "lat"), F.col(b + "lon"))
+@lru_cache(maxsize=500_000)
+def _letters(w: str) -> int:
+    out = 0
+    for ch in w:
+        out |= 1 << (ord(ch) & 63)
+    return out
 
 
 def osa(a: str, b: str, most: int) -> int:
     """Edit distance with swaps of neighbours, or ``most`` + 1 if it is larger."""
-    if abs(len(a) - len(b)) > most:
+    x, y = _letters(a), _letters(b)
+    # an edit changes the set of letters by one on each side at most
+    if abs(len(a) - len(b)) > most or (x & ~y).bit_count() > most or (y & ~x).bit_count() > most:
         return most + 1
     two: list[int] = []
     one = list(range(len(b) + 1))
@@ -194,13 +268,60 @@ def _glued(g: str, words: tuple[str, ...]) -> float:
     return best
 
 
+def _worth(scores: list[float], whole: bool) -> float:
+    """The agreement of two lists whose aligned words have these scores; ``whole``: none is left over."""
+    scores = sorted(scores)
+    if scores[0] < 0.45 or (scores[0] < 0.5 and scores[1] < 0.9):
+        return 0.0
+    if scores[0] < 0.6 or (scores[0] < 0.9 and scores[1] < 0.9):
+        return 0.5 if scores[-1] >= 0.9 else 0.45
+    return sum(scores) / len(scores) * (1.0 if whole else 0.9)
+
+
+def assignment(score: list[list[float]]) -> list[int]:
+    """The column of each row in the assignment of rows to different columns with the largest total (Hungarian method
+    with potentials); not more rows than columns."""
+    n, m = len(score), len(score[0])
+    u, v, row_of = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j0 = i, 0
+        least, before, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while True:
+            done[j0] = True
+            i0, step, j1 = row_of[j0], float("inf"), 0
+            for j in range(1, m + 1):
+                if not done[j]:
+                    cost = -score[i0 - 1][j - 1] - u[i0] - v[j]
+                    if cost < least[j]:
+                        least[j], before[j] = cost, j0
+                    if least[j] < step:
+                        step, j1 = least[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[row_of[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            j0 = j1
+            if not row_of[j0]:
+                break
+        while j0:
+            row_of[j0] = row_of[before[j0]]
+            j0 = before[j0]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if row_of[j]:
+            out[row_of[j] - 1] = j - 1
+    return out
+
+
 @lru_cache(maxsize=500_000)
 def places_match(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """Agreement of two lists of place words by their best assignment, in any order; 0 if they name other places.
 
     Above 0.5: the lists name one place. The shorter one is then matched whole; a list of one word may be two run
     together; at most one word agrees weakly (stem or two edits). Up to 0.5: they may name one place, if the rows
-    lie close together: one word agrees well or both somewhat."""
+    lie close together: one word agrees well or both somewhat. Lists of any length are compared whole."""
     if not a or not b:
         return 0.0
     if len(a) > len(b):
@@ -209,14 +330,17 @@ def places_match(a: tuple[str, ...], b: tuple[str, ...]) -> float:
         if len(b) == 1:
             s = soft_match(a[0], b[0])
             return s if s >= 0.9 or (s >= 0.7 and len(a[0]) >= 9) else 0.5 * (s >= 0.5 and len(a[0]) >= 7)
-        return max((_glued(a[0].rstrip("."), p) for p in permutations(b, 2)), default=0.0)
-    best = 0.0
-    for chosen in permutations(b, len(a)) if len(b) <= 4 else [b[: len(a)]]:
-        scores = sorted(soft_match(x, y) for x, y in zip(a, chosen))
-        if scores[0] < 0.45 or (scores[0] < 0.5 and scores[1] < 0.9):
-            continue
-        if scores[0] < 0.6 or (scores[0] < 0.9 and scores[1] < 0.9):
-            best = max(best, 0.5 if scores[-1] >= 0.9 else 0.45)
-        else:
-            best = max(best, sum(scores) / len(scores) * (1.0 if len(a) == len(b) else 0.9))
-    return best
+        return _glued(a[0].rstrip("."), b)
+    if len(a) == 2 == len(b):
+        best = 0.0
+        for p, q in ((0, 1), (1, 0)):
+            s = soft_match(a[0], b[p])
+            if s >= 0.45:
+                best = max(best, _worth([s, soft_match(a[1], b[q])], True))
+        return best
+    score = [[soft_match(x, y) for y in b] for x in a]
+    if len(b) <= 4:
+        return max(_worth([score[i][j] for i, j in enumerate(p)], len(a) == len(b)) for p in permutations(range(len(b)), len(a)))
+    # below 0.45 a word is not matched at all
+    at = assignment([[s if s >= 0.45 else -10.0 for s in row] for row in score])
+    return _worth([score[i][j] for i, j in enumerate(at)], len(a) == len(b))
