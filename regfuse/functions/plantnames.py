@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regfuse.session import maybe_broadcast
+
 # Letters that Unicode does not decompose.
 LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "ħ": "h", "ŋ": "n"}
 
@@ -174,7 +176,7 @@ def company_words(places: DataFrame, min_rows: int = 8, spread: float = 1.2) ->
     set of words in the driver, everything before it stays in the cluster."""
     listed = places.select(F.array_distinct("places").alias("places"))
     often = listed.filter(F.size("places") >= 3).select(F.explode("places").alias("w")).groupBy("w").count().filter(F.col("count") >= min_rows).select("w")
-    beside = listed.select(F.explode("places").alias("w"), "places").join(often, "w", "left_semi")
+    beside = listed.select(F.explode("places").alias("w"), "places").join(maybe_broadcast(often, often.count()), "w", "left_semi")
     pairs = beside.select("w", F.explode("places").alias("o")).groupBy("w", "o").count()
     # a word stands beside itself in each of its rows
     sums = pairs.groupBy("w").agg(F.sum(F.when(F.col("w") == F.col("o"), F.col("count"))).alias("n"), (F.count(F.lit(1)) - 1).alias("d"))
