@@ -4,8 +4,8 @@
 every place word whole, and for every two words of a name what is left if of each all but its first two or all but its
 last three letters are deleted: an edit, abbreviation, short form or misread letter leaves one of the two as it is, so
 that both sides keep the same. A name that runs two words together is indexed under its beginning and each
-two letters that can begin its second word. Keys carry what must be equal (qualifier, in the halves the country too); a
-row of unknown country meets others by whole words in any country and by first halves in each.
+two letters that can begin its second word. Keys carry what must be equal (qualifier, country); a
+row of unknown country is indexed under its words and their heads in every country.
 
 *Join.* What cannot be one plant by country, fuel or position is dropped in the join itself, so a bucket's pairs never
 leave its task unless they may match; adaptive execution splits hot buckets. Keys depend on the two rows only: the same
@@ -16,9 +16,12 @@ from __future__ import annotations
 
 from functools import lru_cache
 from itertools import permutations
+from math import pi
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regfuse.functions.missing import capacity_missing, lat_missing, lon_missing
 from regfuse.functions.plantnames import company_words, one_edit, parsed_text
@@ -30,7 +33,7 @@ CLOSE_KM = 3.0
 #: Records of one plant lie no farther apart (blocks, other entrances, coarse coordinates).
 PLANT_KM = 6.0
 #: Letters of a word's head and tail.
-HEAD, TAIL = 2, 3
+HEAD, TAIL = 2, 4
 
 
 def prepare(plants: DataFrame) -> tuple[Cut, DataFrame]:
@@ -61,108 +64,127 @@ def prepare(plants: DataFrame) -> tuple[Cut, DataFrame]:
 # Numbers of countries and fuel classes, from 1; 0 is unknown.
 _CC = {a: i + 1 for i, (a, _, _) in enumerate(COUNTRIES)}
 _FUELS = {f: i + 1 for i, f in enumerate(FUEL_WORDS)}
-#: Kilometres a degree of latitude has, and the coordinate that stands for an unknown position.
-DEGREE_KM, NOWHERE = 111.195, -1e9
-#: What every row has under its keys.
-PAYLOAD = ("id", "source", "class", "y", "x", "c", "w1", "w2", "rest", "begin")
+#: Kilometres a degree of latitude has, and steps of packed positions a kilometre; the corner they count from.
+DEGREE_KM, STEPS, SOUTH, WEST = 111.195, 100, 27.0, -32.0
+#: What every row has under its keys, besides its source where sources must differ.
+PAYLOAD = ("id", "info", "w1", "w2", "rest")
 
 
 def _number(values: dict[str, int], c: str) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(c)), F.lit(0))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(c)), F.lit(0)).cast("bigint")
 
 
-def _payload(words: DataFrame) -> list[Column]:
-    """``class``: country and fuel; ``y, x``: the position in kilometres at the equator, ``c``: the cosine of its latitude;
-    ``begin``: the first three letters of both words of a name of two whole words, else 0."""
-    km = lambda c: F.coalesce(F.col(c) * DEGREE_KM, F.lit(NOWHERE))
+def packed_info() -> Column:
+    """A row in one number, from the low end: longitude (21 bits) and latitude (20) in steps of 10 m at the equator from
+    the corner, 0 if unknown; whether the name has two whole words (1); fuel (5) and country (6), 0 if unknown. A key adds its kind (2): the name's
+    first word, its second, or another."""
+    at = lambda c, low: F.coalesce(F.round((F.col(c) - low) * (DEGREE_KM * STEPS)).cast("bigint") + 1, F.lit(0))
     plain = (F.col("w1") != "") & (F.col("w2") != "") & (F.col("rest") == "") & ~F.contains("places", F.lit("."))
-    begin = lambda c: F.pmod(F.hash(F.substring(c, 1, 3)), F.lit(0x7FFF)) + 1
-    return [F.col("id"), F.col("source"), (_number(_CC, "cc") * 32 + _number(_FUELS, "fuel")).alias("class"), km("lat").alias("y"), km("lon").alias("x"), F.coalesce(F.cos(F.radians("lat")), F.lit(1.0)).alias("c"), F.col("w1"), F.col("w2"), F.col("rest"), F.when(plain, begin("w1") * 65536 + begin("w2")).otherwise(F.lit(0)).alias("begin")]
+    return at("lon", WEST) + F.shiftleft(at("lat", SOUTH), 21) + F.shiftleft(plain.cast("bigint"), 41) + F.shiftleft(_number(_FUELS, "fuel"), 42) + F.shiftleft(_number(_CC, "cc"), 47)
+
+
+def _bits(p: str, at: int, bits: int) -> Column:
+    return F.shiftright(F.col(p + "info"), at).bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def _km2() -> Column:
-    dy, dx = F.col("a_y") - F.col("b_y"), (F.col("a_x") - F.col("b_x")) * (F.col("a_c") + F.col("b_c")) * 0.5
-    return dy * dy + dx * dx
+    """The square of the distance of two rows (flat, as they are near)."""
+    y1, y2 = _bits("a_", 21, 20), _bits("b_", 21, 20)
+    dx = (_bits("a_", 0, 21) - _bits("b_", 0, 21)) * F.cos((y1 + y2) * (0.5 / STEPS / DEGREE_KM * pi / 180) + SOUTH * pi / 180)
+    return ((y1 - y2) * (y1 - y2) + dx * dx) * (1.0 / STEPS / STEPS)
 
 
 def _placed() -> Column:
-    return (F.col("a_y") > NOWHERE) & (F.col("b_y") > NOWHERE)
+    return (_bits("a_", 0, 41) > 0) & (_bits("b_", 0, 41) > 0)
 
 
 def index_keys(rows: DataFrame, same_source: bool, extra: dict[str, Column]) -> DataFrame:
-    """Rows under their keys: ``key``, those of PAYLOAD and of ``extra``."""
+    """Rows under their keys: ``key``, those of PAYLOAD, the ``source`` unless it is to be the same, and those of ``extra``."""
     own = [F.col("qual"), *([F.col("source")] if same_source else [])]
-    cc = F.col("cc")
-    key = lambda kind, *parts: F.xxhash64(F.lit(kind), *own, *parts)
     bare = F.col("bare")
+    none = F.array().cast("array<struct<key:bigint,kind:int>>")
     head = lambda w: F.substring(w, 1, HEAD)
     tail = lambda w: F.substring(w, -TAIL, TAIL)
 
+    def key(name: str, kind: int, country: Column, *parts: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(name), country, *own, *parts).alias("key"), F.lit(kind).alias("kind"))
+
     def heads(x: Column, y: Column, country: Column) -> Column:
-        return key("heads", country, F.least(x, y), F.greatest(x, y))
+        return key("heads", 2, country, F.least(x, y), F.greatest(x, y))
 
-    def two(x: Column, y: Column) -> list[Column]:
-        """Keys of the halves of two words, in either order alike."""
-        tails = key("tails", cc, F.least(tail(x), tail(y)), F.greatest(tail(x), tail(y)))
-        return [heads(head(x), head(y), cc), tails, key("mixed", cc, head(x), tail(y)), key("mixed", cc, head(y), tail(x))]
+    def two(x: Column, y: Column, cc: Column) -> list[Column]:
+        """Keys of the heads and tails of two words, in either order alike."""
+        tails = key("tails", 2, cc, F.least(tail(x), tail(y)), F.greatest(tail(x), tail(y)))
+        return [heads(head(x), head(y), cc), tails, key("mixed", 2, cc, head(x), tail(y)), key("mixed", 2, cc, head(y), tail(x))]
 
     def glued(country: Column) -> Column:
-        """First halves of the words that a single one may run together."""
+        """Heads of the words that a single one may run together."""
         w = F.element_at(bare, 1)
         starts = F.sequence(F.lit(4), F.length(w) - 1)
-        return F.when((F.size(bare) == 1) & (F.length(w) >= 7), F.transform(starts, lambda k: heads(head(w), w.substr(k, F.lit(HEAD)), country))).otherwise(F.array().cast("array<bigint>"))
+        return F.when((F.size(bare) == 1) & (F.length(w) >= 7), F.transform(starts, lambda k: heads(head(w), w.substr(k, F.lit(HEAD)), country))).otherwise(none)
+
+    def every_two(keys) -> Column:
+        return F.flatten(F.transform(bare, lambda x, i: F.flatten(F.transform(bare, lambda y, j: F.when(i < j, keys(x, y)).otherwise(none)))))
 
-    first, second = F.element_at(bare, 1), F.try_element_at(bare, F.lit(2))
-    single = F.array(key("head", cc, F.substring(first, 1, HEAD + 1)), key("tail", cc, F.substring(first, -TAIL, TAIL)))
-    # lists of three and more words are rare: every two of them
-    several = F.flatten(F.transform(bare, lambda x, i: F.flatten(F.transform(bare, lambda y, j: F.when(i < j, F.array(*two(x, y))).otherwise(F.array().cast("array<bigint>"))))))
-    wholes = F.transform(bare, lambda w: key("word", w))
     listed = F.split("places", " ")
     at = lambda i: F.coalesce(F.try_element_at(listed, F.lit(i)), F.lit(""))
     rest = F.when(F.size(listed) > 2, F.array_join(F.slice(listed, 3, F.size(listed)), " ")).otherwise(F.lit(""))
     words = rows.withColumns({"w1": at(1), "w2": at(2), "rest": rest, "bare": F.split(F.replace(F.col("places"), F.lit("."), F.lit("")), " ")})
-    payload = [*_payload(words), *[c.alias(k) for k, c in extra.items()]]
-    n = F.size(bare)
-    known = F.when(n == 2, F.array(key("word", first), key("word", second), *two(first, second))).when(n == 1, F.concat(F.array(key("word", first)), single, glued(cc))).otherwise(F.concat(wholes, several))
-    # a row of unknown country: whole words tell no country, heads are put under every one and under none
+    cc, n = F.col("cc"), F.size(bare)
+    first, second = F.element_at(bare, 1), F.try_element_at(bare, F.lit(2))
+    single = [key("word", 0, cc, first), key("head", 2, cc, F.substring(first, 1, HEAD + 1)), key("tail", 2, cc, tail(first))]
+    double = F.array(key("word", 0, cc, first), key("word", 1, cc, second), *two(first, second, cc))
+    # lists of three and more words are rare: every two of them
+    several = F.concat(F.transform(bare, lambda w: key("word", 0, cc, w)), every_two(lambda x, y: F.array(*two(x, y, cc))))
+    known = F.when(n == 2, double).when(n == 1, F.concat(F.array(*single), glued(cc))).otherwise(several)
+    # a row of unknown country: words and heads under every country, and under none for others of that kind
     countries = F.array(*[F.lit(c) for c in [*_CC, ""]])
-    all_heads = F.transform(bare, lambda x, i: F.flatten(F.transform(bare, lambda y, j: F.when(i < j, F.transform(countries, lambda c: heads(head(x), head(y), c))).otherwise(F.array().cast("array<bigint>")))))
-    anywhere = F.concat(wholes, F.flatten(all_heads), F.flatten(F.transform(countries, glued)))
+    wholes = F.flatten(F.transform(bare, lambda w: F.transform(countries, lambda c: key("word", 2, c, w))))
+    anywhere = F.concat(wholes, every_two(lambda x, y: F.transform(countries, lambda c: heads(head(x), head(y), c))), F.flatten(F.transform(countries, glued)))
+    payload = ["id", "w1", "w2", "rest", *([] if same_source else ["source"]), *[c.alias(k) for k, c in extra.items()]]
     out = None
     for part, keys in ((words.filter("cc is not null"), known), (words.filter("cc is null"), anywhere)):
-        part = part.select(*payload, F.explode(F.array_distinct(keys)).alias("key"))
+        part = part.select(*payload, packed_info().alias("_info"), F.explode(F.array_distinct(keys)).alias("_k"))
+        part = part.select("_k.key", (F.col("_info") + F.shiftleft(F.col("_k.kind").cast("bigint"), 53)).alias("info"), *[c for c in part.columns if c not in ("_info", "_k")])
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def meeting(keys: DataFrame, same_source: bool, extra: list[str], apart_share: int = 0) -> DataFrame:
     """Pairs of rows that share a key and may be one plant: ``one`` < ``other``, ``km`` (null: unknown), ``a_places,
-    b_places`` and the columns of ``extra`` under both prefixes. A pair comes once for each key it shares.
+    b_places`` and the columns of ``extra`` under both prefixes. A pair with an equal word comes once, others once for
+    each key they share.
 
     With ``apart_share`` one in so many of the pairs that lie too far apart comes too (as known strangers). The
     condition is kept small, so that its code is compiled."""
-    sides = [keys.select([F.col(c).alias(p + c) for c in ("key", *PAYLOAD, *extra)]) for p in ("a_", "b_")]
-    a, b = F.col("a_class"), F.col("b_class")
-    either = lambda x, y: (x == y) | (x == 0) | (y == 0)
-    kind = (a == b) | (either(a.bitwiseAND(31), b.bitwiseAND(31)) & either(F.shiftright(a, 5), F.shiftright(b, 5)))
-    source = F.col("a_source") == F.col("b_source") if same_source else F.col("a_source") != F.col("b_source")
+    columns = ("key", *PAYLOAD, *([] if same_source else ["source"]), *extra)
+    sides = [keys.select([F.col(c).alias(p + c) for c in columns]) for p in ("a_", "b_")]
+    either = lambda at, bits: (_bits("a_", at, bits) == _bits("b_", at, bits)) | (_bits("a_", at, bits) == 0) | (_bits("b_", at, bits) == 0)
     near = ~_placed() | (_km2() <= PLANT_KM**2)
     if apart_share:
         near = near | (F.pmod(F.xxhash64("a_id", "b_id"), F.lit(apart_share)) == 0)
-    met = sides[0].join(sides[1], (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & source & kind & near & may_agree())
+    on = (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & ~_met_before() & either(42, 5) & either(47, 6) & near & may_agree()
+    met = sides[0].join(sides[1], on if same_source else on & (F.col("a_source") != F.col("b_source")))
     places = [F.rtrim(F.concat_ws(" ", p + "w1", p + "w2", p + "rest")).alias(p + "places") for p in ("a_", "b_")]
     return met.select(F.col("a_id").alias("one"), F.col("b_id").alias("other"), F.when(_placed(), F.sqrt(_km2())).alias("km"), *places, *[p + c for p in ("a_", "b_") for c in extra])
 
 
+def _met_before() -> Column:
+    """Whether two names of two whole words also meet under an equal word that comes before this key."""
+    kind = _bits("a_", 53, 2)
+    equal = lambda w: (F.col(w) == F.col("b_w1")) | (F.col(w) == F.col("b_w2"))
+    # rows of unknown country have their words under other kinds
+    sure = (_bits("a_", 41, 1) == 1) & (_bits("b_", 41, 1) == 1) & (_bits("a_", 47, 6) > 0) & (_bits("b_", 47, 6) > 0)
+    return sure & (kind >= 1) & (equal("a_w1") | ((kind == 2) & equal("a_w2")))
+
+
 def may_agree() -> Column:
     """A cheap condition that all pairs with agreeing place words fulfil: they lie close together, or two names of two
     whole words each have an order in which both words begin alike or are within three edits."""
-    a1, a2, b1, b2, a, b = (F.col(c) for c in ("a_w1", "a_w2", "b_w1", "b_w2", "a_begin", "b_begin"))
-    one, two = (lambda v: F.shiftright(v, 16)), (lambda v: v.bitwiseAND(0xFFFF))
-    within = lambda v, w: F.levenshtein(v, w, 3) >= 0
-    straight = ((one(a) == one(b)) | within(a1, b1)) & ((two(a) == two(b)) | within(a2, b2))
-    crossed = ((one(a) == two(b)) | within(a1, b2)) & ((two(a) == one(b)) | within(a2, b1))
-    return (a == 0) | (b == 0) | (_placed() & (_km2() <= CLOSE_KM**2)) | straight | crossed
+    a1, a2, b1, b2 = (F.col(c) for c in ("a_w1", "a_w2", "b_w1", "b_w2"))
+    like = lambda v, w: (F.substring(v, 1, 3) == F.substring(w, 1, 3)) | (F.levenshtein(v, w, 3) >= 0)
+    plain = _bits("a_", 41, 1).bitwiseAND(_bits("b_", 41, 1)) == 1
+    return ~plain | (_placed() & (_km2() <= CLOSE_KM**2)) | (like(a1, b1) & like(a2, b2)) | (like(a1, b2) & like(a2, b1))
 
 
 @lru_cache(maxsize=500_000)
@@ -337,6 +359,8 @@ def places_match(a: tuple[str, ...], b: tuple[str, ...]) -> float:
             s = soft_match(a[0], b[p])
             if s >= 0.45:
                 best = max(best, _worth([s, soft_match(a[1], b[q])], True))
+                if best >= 0.9:
+                    break
         return best
     score = [[soft_match(x, y) for y in b] for x in a]
     if len(b) <= 4:
@@ -344,3 +368,9 @@ def places_match(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     # below 0.45 a word is not matched at all
     at = assignment([[s if s >= 0.45 else -10.0 for s in row] for row in score])
     return _worth([score[i][j] for i, j in enumerate(at)], len(a) == len(b))
+
+
+@F.pandas_udf(T.DoubleType())
+def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+    """:func:`places_match` of texts of place words."""
+    return pd.Series([places_match(tuple(x.split()), tuple(y.split())) for x, y in zip(a, b)], dtype=float)
