@@ -136,18 +136,15 @@ def index_keys(rows: DataFrame, same_source: bool, extra: dict[str, Column]) ->
     double = F.array(key("word", 0, cc, first), key("word", 1, cc, second), *two(first, second, cc))
     # lists of three and more words are rare: every two of them
     several = F.concat(F.transform(bare, lambda w: key("word", 0, cc, w)), every_two(lambda x, y: F.array(*two(x, y, cc))))
-    known = F.when(n == 2, double).when(n == 1, F.concat(F.array(*single), glued(cc))).otherwise(several)
     # a row of unknown country: words and heads under every country, and under none for others of that kind
     countries = F.array(*[F.lit(c) for c in [*_CC, ""]])
     wholes = F.flatten(F.transform(bare, lambda w: F.transform(countries, lambda c: key("word", 2, c, w))))
     anywhere = F.concat(wholes, every_two(lambda x, y: F.transform(countries, lambda c: heads(head(x), head(y), c))), F.flatten(F.transform(countries, glued)))
+    keys = F.when(cc.isNull(), anywhere).when(n == 2, double).when(n == 1, F.concat(F.array(*single), glued(cc))).otherwise(several)
     payload = ["id", "w1", "w2", "rest", *([] if same_source else ["source"]), *[c.alias(k) for k, c in extra.items()]]
-    out = None
-    for part, keys in ((words.filter("cc is not null"), known), (words.filter("cc is null"), anywhere)):
-        part = part.select(*payload, packed_info().alias("_info"), F.explode(F.array_distinct(keys)).alias("_k"))
-        part = part.select("_k.key", (F.col("_info") + F.shiftleft(F.col("_k.kind").cast("bigint"), 53)).alias("info"), *[c for c in part.columns if c not in ("_info", "_k")])
-        out = part if out is None else out.unionByName(part)
-    return out
+    out = words.select(*payload, packed_info().alias("_info"), F.explode(keys).alias("_k"))
+    info = F.col("_info") + F.shiftleft(F.col("_k.kind").cast("bigint"), 53)
+    return out.select("_k.key", info.alias("info"), *[c for c in out.columns if c not in ("_info", "_k")])
 
 
 def meeting(keys: DataFrame, same_source: bool, extra: list[str], apart_share: int = 0) -> DataFrame:
@@ -180,9 +177,9 @@ def _met_before() -> Column:
 
 def may_agree() -> Column:
     """A cheap condition that all pairs with agreeing place words fulfil: they lie close together, or two names of two
-    whole words each have an order in which both words begin alike or are within three edits."""
+    whole words each have an order in which both words begin alike or are within four edits (two swaps of letters)."""
     a1, a2, b1, b2 = (F.col(c) for c in ("a_w1", "a_w2", "b_w1", "b_w2"))
-    like = lambda v, w: (F.substring(v, 1, 3) == F.substring(w, 1, 3)) | (F.levenshtein(v, w, 3) >= 0)
+    like = lambda v, w: (F.substring(v, 1, 3) == F.substring(w, 1, 3)) | (F.levenshtein(v, w, 4) >= 0)
     plain = _bits("a_", 41, 1).bitwiseAND(_bits("b_", 41, 1)) == 1
     return ~plain | (_placed() & (_km2() <= CLOSE_KM**2)) | (like(a1, b1) & like(a2, b2)) | (like(a1, b2) & like(a2, b1))
 
@@ -373,4 +370,4 @@ def places_match(a: tuple[str, ...], b: tuple[str, ...]) -> float:
 @F.pandas_udf(T.DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """:func:`places_match` of texts of place words."""
-    return pd.Series([places_match(tuple(x.split()), tuple(y.split())) for x, y in zip(a, b)], dtype=float)
+    return pd.Series([1.0 if x == y else places_match(tuple(x.split()), tuple(y.split())) for x, y in zip(a, b)], dtype=float)

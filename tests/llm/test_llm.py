@@ -113,14 +113,15 @@ def _swapped(w):
     return w[:3] + w[4] + w[3] + w[5:]
 
 
-def test_matches_do_not_depend_on_the_size(spark, monkeypatch):
-    from regfuse.llm import entities
+def _found(operator, spark, rows):
+    return {(r.row_id_one, r.row_id_two) for r in operator(spark.createDataFrame(rows, SCHEMA)).collect()}
 
-    plan = entities.table_plan
-    monkeypatch.setattr(entities, "table_plan", lambda rows: plan(6_000_000))
-    for alter in (lambda x, y: f"{x} {_swapped(y)}", lambda x, y: f"{x} {y[:4]}."):
-        got = {(r.row_id_one, r.row_id_two) for r in entities.find_matches(spark.createDataFrame(_registers(alter), SCHEMA)).collect()}
-        assert len({(i, 1000 + i) for i in range(30)} & got) == 30
+
+@pytest.mark.parametrize("alter", [lambda x, y: f"{x} {_swapped(y)}", lambda x, y: f"{x} {y[:4]}.", lambda x, y: f"{y} {x}", lambda x, y: x + y[:4], lambda x, y: f"q{x[1:]} q{y[1:]}"])
+def test_matches_of_altered_names(spark, alter):
+    from regfuse.llm.entities import find_matches
+
+    assert len({(i, 1000 + i) for i in range(30)} & _found(find_matches, spark, _registers(alter))) == 30
 
 
 def test_matches_recall_against_brute_force(spark):
@@ -130,28 +131,61 @@ def test_matches_recall_against_brute_force(spark):
     rows = _registers(lambda x, y: f"{_swapped(x)} {y[:2] + y[3:]}")
     rows += [(2000 + i, s, w, "Wind", None, "DE", 5.0, None, None) for i, x in enumerate(STEMS) for s, w in (("A", x + "berg"), ("B", _swapped(x) + "berg"))]
     rows = [(i, *r[1:]) for i, r in enumerate(rows)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    kept = prepare(df).df.collect()
-    want = {(a.id, b.id) for a in kept for b in kept if a.id < b.id and a.source != b.source and a.fuel == b.fuel and a.qual == b.qual and places_match(tuple(a.places), tuple(b.places)) >= 0.9}
-    got = {(r.row_id_one, r.row_id_two) for r in find_matches(df).collect()}
-    assert len(want) >= 40 and len(want & got) >= 0.99 * len(want)
+    kept = prepare(spark.createDataFrame(rows, SCHEMA))[1].collect()
+    want = {(a.id, b.id) for a in kept for b in kept if a.id < b.id and a.source != b.source and a.fuel == b.fuel and a.qual == b.qual and places_match(tuple(a.places.split()), tuple(b.places.split())) >= 0.9}
+    assert len(want) >= 40 and len(want & _found(find_matches, spark, rows)) >= 0.99 * len(want)
 
 
-def test_calibration_weighs_drawn_pairs(spark, monkeypatch):
-    from pyspark.sql import functions as F
+def test_unknown_country_and_long_names(spark):
+    from regfuse.llm.plants import places_match
+    from regfuse.llm.variants import find_variants
+
+    five = ("brunfal", "klermond", "stoldrin", "dolmarek", "tregmald")
+    assert places_match(five, (five[1], five[0], *five[2:])) == 1.0
+    assert places_match((*five, "gromfeld"), ("gromfled", *five[::-1])) > 0.9 and places_match(five, tuple(w[::-1] for w in five)) == 0
+    rows = [(1, "A", " ".join(five), "Oil", None, "DE", 1.0, None, None), (2, "A", " ".join(five[::-1]), "Oil", None, None, 1.0, None, None), (3, "A", "Brunfal Klermond", "Oil", None, None, 1.0, None, None), (4, "A", "Brnufal Klermomd", "Oil", None, "FR", 1.0, None, None), (5, "A", "Brunfla Klermond", "Oil", None, "??", 1.0, None, None)]
+    assert _found(find_variants, spark, rows) >= {(1, 2), (3, 4), (3, 5), (4, 5)}
+
+
+def test_assignment_is_the_best():
+    from itertools import permutations
+
+    from regfuse.llm.plants import assignment
+
+    rnd = random.Random(1)
+    for n, m in ((1, 1), (2, 5), (4, 4), (5, 6)):
+        score = [[rnd.random() for _ in range(m)] for _ in range(n)]
+        got = assignment(score)
+        assert len(set(got)) == n
+        assert abs(sum(score[i][j] for i, j in enumerate(got)) - max(sum(score[i][j] for i, j in enumerate(p)) for p in permutations(range(m), n))) < 1e-9
+
+
+def test_vectors_learn_from_the_graph(spark):
+    from regfuse.llm.entities import train_vectors
+
+    rows = [(10 * i + k, f"{x} {y}" if k % 2 else f"{_swapped(x)} {y}", 50 + i / 3, 10.0, 5.0, "Oil", "DE") for i, x in enumerate(STEMS) for y in STEMS[:3] for k in range(6)]
+    df = spark.createDataFrame(rows, "id bigint, places string, lat double, lon double, cap double, fuel string, cc string")
+    before, after = train_vectors(df, epochs=0), train_vectors(df, epochs=20)
+    assert after.losses[-1] < 0.8 * after.losses[0]
+    close = lambda v: sum(float(v.words([x])[0] @ v.words([_swapped(x)])[0]) for x in STEMS) / 10
+    assert close(after) > close(before) + 0.05
+
+
+def test_calibration_weighs_drawn_pairs():
+    import numpy as np
 
-    from regfuse.llm import entities
+    from regfuse.llm.entities import fitted
 
-    # of 3,200 pairs of other places one in 16 is drawn; matches and others overlap in cosine
-    rnd = random.Random(3)
-    rows = [(i, 10_000 + i, min(1.0, max(0.0, rnd.gauss(0.75 if i % 5 == 0 else 0.5, 0.12))), 1.0 if i % 5 == 0 else 0.0) for i in range(4000)]
-    full = spark.createDataFrame(rows, "one bigint, other bigint, cosine double, agreement double").withColumns({"km": F.lit(1.0), "ratio": F.lit(0.2), "fuel": F.lit(1.0)})
-    drawn = full.filter((F.col("agreement") > 0) | (F.pmod(F.xxhash64("one", "other"), F.lit(entities.NEGATIVE_SHARE)) == 0))
-    got = entities._calibrate(drawn)[0]
-    monkeypatch.setattr(entities, "NEGATIVE_SHARE", 1)
-    want = entities._calibrate(full)[0]
+    # of 3,200 strangers one in 16 is drawn and counts 16; the features overlap
+    rnd = np.random.default_rng(3)
+    y = (np.arange(4000) % 5 == 0).astype(float)
+    x = np.column_stack([np.where(y > 0, 0.75, 0.5) + rnd.normal(0, 0.12, 4000), rnd.random(4000)])
+    prior = np.array([-4.0, 2.0, 0.0])
+    drawn = (y > 0) | (rnd.random(4000) < 1 / 16)
+    full, some = fitted(x, y, 1.0, prior), fitted(x[drawn], y[drawn], 16.0, prior)
     for cosine in (0.55, 0.65, 0.75):
-        assert abs((got - want) @ [1, cosine, 0.2]) < 0.7
+        assert abs((full - some) @ [1, cosine, 0.5]) < 0.8
+    assert (fitted(x[:0], y[:0], 1.0, prior) == prior).all()
 
 
 def test_leaks_of_shared_words_and_copies(spark):
