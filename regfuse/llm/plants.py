@@ -18,6 +18,7 @@ from functools import lru_cache
 from itertools import permutations
 from math import pi
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -367,7 +368,11 @@ def places_match(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return _worth([score[i][j] for i, j in enumerate(at)], len(a) == len(b))
 
 
+def agreements(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """:func:`places_match` of texts of place words; 1 for equal ones."""
+    return np.array([1.0 if x == y else places_match(tuple(x.split()), tuple(y.split())) for x, y in zip(a, b)], dtype=float)
+
+
 @F.pandas_udf(T.DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """:func:`places_match` of texts of place words."""
-    return pd.Series([1.0 if x == y else places_match(tuple(x.split()), tuple(y.split())) for x, y in zip(a, b)], dtype=float)
+    return pd.Series(agreements(a, b))
