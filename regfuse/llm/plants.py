@@ -22,7 +22,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from regfuse.functions.missing import capacity_missing, lat_missing, lon_missing
 from regfuse.functions.plantnames import company_words, one_edit, parsed_text
@@ -89,7 +88,7 @@ def _bits(p: str, at: int, bits: int) -> Column:
 
 
 def _km2() -> Column:
-    """The square of the distance of two rows (flat, as they are near)."""
+    """The square of the distance of two rows (flat, as they are near); without meaning if a position is unknown."""
     y1, y2 = _bits("a_", 21, 20), _bits("b_", 21, 20)
     dx = (_bits("a_", 0, 21) - _bits("b_", 0, 21)) * F.cos((y1 + y2) * (0.5 / STEPS / DEGREE_KM * pi / 180) + SOUTH * pi / 180)
     return ((y1 - y2) * (y1 - y2) + dx * dx) * (1.0 / STEPS / STEPS)
@@ -149,22 +148,32 @@ def index_keys(rows: DataFrame, same_source: bool, extra: dict[str, Column]) ->
 
 
 def meeting(keys: DataFrame, same_source: bool, extra: list[str], apart_share: int = 0) -> DataFrame:
-    """Pairs of rows that share a key and may be one plant: ``one`` < ``other``, ``km`` (null: unknown), ``a_places,
-    b_places`` and the columns of ``extra`` under both prefixes. A pair with an equal word comes once, others once for
-    each key they share.
+    """Pairs of rows that share a key and may be one plant: ``one`` < ``other``, the columns of PAYLOAD and ``extra`` under
+    the prefixes ``a_`` and ``b_``, for :func:`compared`. A pair with an equal word comes once, others once for each key
+    they share.
 
-    With ``apart_share`` one in so many of the pairs that lie too far apart comes too (as known strangers). The
-    condition is kept small, so that its code is compiled."""
+    With ``apart_share`` (a power of two) one in so many of the pairs that lie too far apart comes too (as known
+    strangers). The condition is kept small, as code over 8,000 bytes would not be compiled."""
     columns = ("key", *PAYLOAD, *([] if same_source else ["source"]), *extra)
     sides = [keys.select([F.col(c).alias(p + c) for c in columns]) for p in ("a_", "b_")]
     either = lambda at, bits: (_bits("a_", at, bits) == _bits("b_", at, bits)) | (_bits("a_", at, bits) == 0) | (_bits("b_", at, bits) == 0)
-    near = ~_placed() | (_km2() <= PLANT_KM**2)
+    near = _km2() <= PLANT_KM**2
     if apart_share:
-        near = near | (F.pmod(F.xxhash64("a_id", "b_id"), F.lit(apart_share)) == 0)
-    on = (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & ~_met_before() & either(42, 5) & either(47, 6) & near & may_agree()
+        mixed = F.col("a_id").bitwiseXOR(F.shiftright("b_id", 3)).bitwiseXOR(F.col("b_id"))
+        near = near | (mixed.bitwiseAND(apart_share - 1) == 0)
+    on = (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & ~_met_before() & either(42, 5) & either(47, 6) & (~_placed() | near) & may_agree()
     met = sides[0].join(sides[1], on if same_source else on & (F.col("a_source") != F.col("b_source")))
-    places = [F.rtrim(F.concat_ws(" ", p + "w1", p + "w2", p + "rest")).alias(p + "places") for p in ("a_", "b_")]
-    return met.select(F.col("a_id").alias("one"), F.col("b_id").alias("other"), F.when(_placed(), F.sqrt(_km2())).alias("km"), *places, *[p + c for p in ("a_", "b_") for c in extra])
+    return met.select(F.col("a_id").alias("one"), F.col("b_id").alias("other"), *[p + c for p in ("a_", "b_") for c in (*PAYLOAD[1:], *extra)])
+
+
+def compared(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Agreement of the place words of pairs from :func:`meeting`, and their distance in km (NaN: unknown)."""
+    lists = [[(u, v, *r.split()) if v else (u,) for u, v, r in zip(pdf[p + "w1"], pdf[p + "w2"], pdf[p + "rest"])] for p in ("a_", "b_")]
+    agreement = np.array([1.0 if x == y else places_match(x, y) for x, y in zip(*lists)], dtype=float)
+    a, b = (pdf[p + "info"].to_numpy(np.int64) & ((1 << 41) - 1) for p in ("a_", "b_"))
+    y1, y2, x1, x2 = a >> 21, b >> 21, a & ((1 << 21) - 1), b & ((1 << 21) - 1)
+    dx = (x1 - x2) * np.cos(np.radians((y1 + y2) * (0.5 / STEPS / DEGREE_KM) + SOUTH))
+    return agreement, np.where((a > 0) & (b > 0), np.sqrt((y1 - y2) ** 2 + dx**2) / STEPS, np.nan)
 
 
 def _met_before() -> Column:
@@ -182,7 +191,7 @@ def may_agree() -> Column:
     a1, a2, b1, b2 = (F.col(c) for c in ("a_w1", "a_w2", "b_w1", "b_w2"))
     like = lambda v, w: (F.substring(v, 1, 3) == F.substring(w, 1, 3)) | (F.levenshtein(v, w, 4) >= 0)
     plain = _bits("a_", 41, 1).bitwiseAND(_bits("b_", 41, 1)) == 1
-    return ~plain | (_placed() & (_km2() <= CLOSE_KM**2)) | (like(a1, b1) & like(a2, b2)) | (like(a1, b2) & like(a2, b1))
+    return ~plain | (_km2() <= CLOSE_KM**2) | (like(a1, b1) & like(a2, b2)) | (like(a1, b2) & like(a2, b1))
 
 
 @lru_cache(maxsize=500_000)
@@ -366,13 +375,3 @@ def places_match(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     # below 0.45 a word is not matched at all
     at = assignment([[s if s >= 0.45 else -10.0 for s in row] for row in score])
     return _worth([score[i][j] for i, j in enumerate(at)], len(a) == len(b))
-
-
-def agreements(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """:func:`places_match` of texts of place words; 1 for equal ones."""
-    return np.array([1.0 if x == y else places_match(tuple(x.split()), tuple(y.split())) for x, y in zip(a, b)], dtype=float)
-
-
-@F.pandas_udf(T.DoubleType())
-def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(agreements(a, b))
