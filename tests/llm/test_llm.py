@@ -201,3 +201,21 @@ def test_leaks_of_shared_words_and_copies(spark):
     docs = [(1, " ".join(ws)), (2, "Note " + " ".join(altered) + " end"), (3, copy)]
     got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert got == {(1, 1), (2, 1), (3, 11), (3, 12), (3, 13)}
+
+
+def test_alignment_equals_a_plain_one():
+    import numpy as np
+
+    from regfuse.llm.leakage import align_many
+
+    rnd = random.Random(7)
+    pairs = [(np.array([rnd.randrange(6) for _ in range(rnd.randrange(0, 30))], dtype=np.int64), np.array([rnd.randrange(1, 6) for _ in range(rnd.randrange(1, 20))]), np.ones(20)) for _ in range(150)]
+    for (doc, item, _), (matches, span, doc_span, total, start) in zip(pairs, align_many(pairs)):
+        best, table = 0, {}
+        for i, x in enumerate(doc, 1):
+            for j, y in enumerate(item, 1):
+                s = max(0, table.get((i - 1, j - 1), 0) + (2 if x == y and x > 0 else -1), table.get((i - 1, j), 0) - 1, table.get((i, j - 1), 0) - 1)
+                table[i, j] = s
+                best = max(best, s)
+        columns = matches * 3 - best
+        assert max(span, doc_span) <= columns + 0 * start <= span + doc_span and total == matches if best else matches == 0
