@@ -47,29 +47,78 @@ def nearest_bus(df: DataFrame, buses: DataFrame, by_country: bool = False, id_co
 
 
 def network_parts(df: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Stores and generators aggregated by bus, fuel and set: capacity summed, duration and efficiency weighted by it."""
+    """Stores and generators aggregated by bus, fuel and set, CHP counted as PP: capacity summed, duration weighted by it.
+    Rows without a duration count in the weights, as if theirs were 0; missing capacities count as 0."""
     keys = keys or ["bus", "Fueltype", "Set"]
-    w = lambda c: F.try_divide(F.sum(F.col(c) * F.col("Capacity")), F.sum(F.when(F.col(c).isNotNull(), F.col("Capacity")))).alias(c)
-    agg = df.dropna(subset=keys).groupBy(*keys).agg(F.sum("Capacity").alias("p_nom"), w("Duration"), w("Efficiency"))
-    named = agg.withColumnsRenamed({"Duration": "max_hours", "Efficiency": "efficiency", "Fueltype": "carrier"}).withColumn("carrier", F.lower("carrier"))
-    store = F.col("Set").isin("Store", "Storage")
+    df = df.withColumn("Set", F.when(F.col("Set") == "CHP", "PP").otherwise(F.col("Set"))).dropna(subset=keys)
+    capacity = F.coalesce(F.sum("Capacity"), F.lit(0.0))
+    aggs = [capacity.alias("Capacity")]
+    if "Duration" in df.columns:
+        aggs.append(F.try_divide(F.coalesce(F.sum(F.col("Duration") * F.col("Capacity")), F.lit(0.0)), capacity).alias("Duration"))
+    named = model_names(df.groupBy(*keys).agg(*aggs))
+    store = F.col("component").isin("Store", "Storage")
     return named.filter(store), named.filter(~store)
 
 
 def model_names(df: DataFrame) -> DataFrame:
     """Columns in the vocabulary of network models, carriers in lower case."""
     # The model's names of the fields.
-    names = {"Capacity": "p_nom", "Duration": "max_hours", "Fueltype": "carrier", "DateIn": "build_year", "DateOut": "retire_year", "Efficiency": "efficiency", "Country": "country", "Name": "name"}
+    names = {"Fueltype": "carrier", "Capacity": "p_nom", "Duration": "max_hours", "Set": "component"}
     out = df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
     return out.withColumn("carrier", F.lower("carrier"))
 
 
 # Short names of fuels.
 FUEL_ABBREVIATIONS = {
-    "Solid Biomass": "BIO", "Biogas": "BGS", "Geothermal": "GEO", "Hard Coal": "COA", "Hydro": "HYD", "Lignite": "LIG", "Natural Gas": "NG", "Nuclear": "NUC", "Oil": "OIL", "Other": "OTH", "Solar": "SOL", "Waste": "WST", "Wind": "WIN", "Battery": "BAT",
+    "Solid Biomass": "BIO", "Biogas": "BIG", "Geothermal": "GEO", "Hard Coal": "COA", "Hydro": "HYD", "Lignite": "LIG", "Natural Gas": "NG", "Nuclear": "NUC", "Oil": "OIL", "Other": "OTH", "Solar": "", "Waste": "WST", "Wind": "WO",
 }
 
 
+# Years a type of plant runs; a CHP plant lives as long as a plant of its kind without heat.
+TIMES_LIFE = {
+    "COA": 45, "LIG": 45, "NG-OCGT": 40, "NG-ST": 40, "NG-CCGT": 40, "OIL": 40, "NUC": 50, "BIO": 25, "HYD-ROR": 200, "HYD-STO": 200, "HYD-PST": 200, "WON": 25, "WOF": 25,
+    "SPV": 30, "CSP": 30, "WST": 30, "SYN": 5, "CAES": 40, "GEO": 30, "OTH": 5,
+}
+#: Kinds that exist with heat too.
+TIMES_HEAT = ["COA", "LIG", "NG-OCGT", "NG-ST", "NG-CCGT", "OIL", "BIO", "WST", "SYN", "GEO", "OTH"]
+
+
+def times_types(df: DataFrame) -> DataFrame:
+    """``df`` with ``TimesType``: ConELC, CHP or PP, the fuel's short name and for some fuels what its technology tells; null
+    for fuels without a short name. ``Life`` is the type's lifetime and ``YearRetire`` the later of DateRetrofit and DateIn
+    plus it; known years of German nuclear plants replace it."""
+    from regfuse.operators.heuristics import known_retire_years
+
+    has = lambda t: F.contains(F.lower(F.coalesce("Technology", F.lit(""))), F.lit(t))
+    detail = {
+        "Wind": F.when(has("offshore"), "F").otherwise("N"),
+        "Solar": F.when(has("csp"), "CSP").otherwise("SPV"),
+        "Natural Gas": F.when(has("ccgt"), "-CCGT").when(has("ocgt"), "-OCGT").otherwise("-ST"),
+        "Hydro": F.when(has("pumped storage"), "-PST").when(has("run-of-river"), "-ROR").otherwise("-STO"),
+    }
+    more = F.lit("")
+    for fuel, x in detail.items():
+        more = F.when(F.col("Fueltype") == fuel, x).otherwise(more)
+    short = F.try_element_at(F.create_map(*[F.lit(x) for kv in FUEL_ABBREVIATIONS.items() for x in kv]), F.col("Fueltype"))
+    heat = F.contains(F.coalesce("Set", F.lit("")), F.lit("CHP"))
+    kind = F.concat(short, more)
+    lives = F.create_map(*[F.lit(x) for kv in TIMES_LIFE.items() for x in (kv[0], float(kv[1]))])
+    out = df.withColumns({"TimesType": F.concat(F.when(heat, "ConELC-CHP_").otherwise("ConELC-PP_"), kind), "Life": F.when(~heat | kind.isin(TIMES_HEAT), F.try_element_at(lives, kind))})
+    return known_retire_years(out.withColumn("YearRetire", F.coalesce("DateRetrofit", "DateIn") + F.col("Life")))
+
+
+def times_stock(df: DataFrame, first: int = 2015, last: int = 2050, step: int = 5) -> DataFrame:
+    """Capacity in service by ``TimesType, Region`` and every ``step`` years: plants built by the base year that have not
+    retired. Regions are country codes, Denmark in two."""
+    from regfuse.functions.vocab import country_code
+    from regfuse.operators.heuristics import denmark_regions
+
+    base = df.filter(F.coalesce(F.col("DateIn") <= first, F.lit(True)))
+    named = times_types(denmark_regions(base)).withColumn("Region", F.coalesce("Region", country_code("Country"))).dropna(subset=["TimesType", "Region"])
+    years = named.withColumn("Year", F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step)))).filter(F.col("YearRetire") > F.col("Year"))
+    return years.groupBy("TimesType", "Region", "Year").agg(F.sum("Capacity").alias("Capacity"))
+
+
 def stock_by_year(df: DataFrame, lifetimes: dict[str, float], first: int, last: int, step: int = 5) -> DataFrame:
     """Capacity in service every ``step`` years by fuel, a column for each country (long: ``Year, Fueltype, Country,
     Capacity``). A plant serves from DateIn until DateOut, else for its fuel's lifetime after DateIn or DateRetrofit."""

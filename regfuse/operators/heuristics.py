@@ -75,7 +75,7 @@ def scale_to_net_capacities(df: DataFrame, factors: DataFrame, is_net: bool = Fa
 def vre_by_commissioning_year(df: DataFrame, fuels: list[str] | None = None, geo: str | None = None) -> DataFrame:
     """Cohorts of weather-driven plants: capacity by country, year, fuel and technology. ``geo`` adds positions: 'mean'
     or 'wm' (weighted by capacity, over rows that have both)."""
-    df = fill_missing_commissioning_years(df.filter(F.col("Fueltype").isin(fuels or ["Solar", "Wind", "Bioenergy"])))
+    df = fill_missing_commissioning_years(df.filter(F.col("Fueltype").isin(fuels or ["Wind", "Solar", "Biogas", "Solid Biomass"])))
     aggs = [F.sum("Capacity").alias("Capacity")]
     if geo == "mean":
         aggs += [F.avg(c).alias(c) for c in ("lat", "lon")]
@@ -83,7 +83,7 @@ def vre_by_commissioning_year(df: DataFrame, fuels: list[str] | None = None, geo
         ok = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("Capacity").isNotNull()
         aggs += [F.try_divide(F.sum(F.when(ok, F.col(c) * F.col("Capacity"))), F.sum(F.when(ok, F.col("Capacity")))).alias(c) for c in ("lat", "lon")]
     keys = ["Country", "DateIn", "Fueltype", "Technology"]
-    return df.withColumn("Technology", F.coalesce("Technology", F.lit(""))).dropna(subset=["Country", "DateIn", "Fueltype"]).groupBy(*keys).agg(*aggs).withColumns({"Technology": F.nullif("Technology", F.lit("")), "Set": F.lit("PP")})
+    return df.withColumn("Technology", F.coalesce("Technology", F.lit(""))).dropna(subset=["Country", "DateIn", "Fueltype"]).groupBy(*keys).agg(*aggs).withColumns({"Technology": F.nullif("Technology", F.lit("")), "Set": F.lit("PP"), "DateRetrofit": F.col("DateIn")})
 
 
 def vintage_cohorts(statistics: DataFrame, lifetimes: dict[str, float] | None = None) -> DataFrame:
@@ -118,21 +118,46 @@ def extend_by_vre(df: DataFrame, vre: DataFrame) -> DataFrame:
     return df.unionByName(vre.filter(F.coalesce(F.col("Fueltype") != "Hydro", F.lit(True))), allowMissingColumns=True)
 
 
-def uncommon_fuels_to_other(df: DataFrame, common: list[str] | None = None) -> DataFrame:
+def uncommon_fuels_to_other(df: DataFrame, rare: list[str] | None = None) -> DataFrame:
     """Rare fuels and missing ones become Other."""
-    rare = common or ["Bioenergy", "Geothermal", "Mixed fuel types", "Electro-mechanical", "Hydrogen Storage"]
+    # The rare fuels.
+    rare = rare or ["Mixed fuel types", "Electro-mechanical"]
     return df.withColumn("Fueltype", F.when(F.col("Fueltype").isin(rare), "Other").otherwise(F.coalesce("Fueltype", F.lit("Other"))))
 
 
 def denmark_regions(df: DataFrame, border: float = 10.96) -> DataFrame:
-    """Danish rows as DKE or DKW by longitude; rows without one are split evenly over both."""
+    """Danish rows as DKE or DKW by longitude, three places by their names; other Danish rows are split evenly over both."""
     dk = F.col("Country") == "Denmark"
-    region = F.when(~dk | dk.isNull(), F.array(F.struct(F.lit(None).cast("string").alias("r"), F.lit(1.0).alias("s"))))
+    # Places whose region their name tells, in any country.
+    named = {"Fellinggard": "DKW", "Jetsmark": "DKW", "Jegerspris": "DKE"}
+    region = None
+    for place, name in named.items():
+        hit = F.coalesce(F.contains(F.lower("Name"), F.lit(place.lower())), F.lit(False))
+        one = F.array(F.struct(F.lit(name).alias("r"), F.lit(1.0).alias("s")))
+        region = F.when(hit, one) if region is None else region.when(hit, one)
+    region = region.when(~dk | dk.isNull(), F.array(F.struct(F.lit(None).cast("string").alias("r"), F.lit(1.0).alias("s"))))
     region = region.when(F.col("lon").isNull(), F.array(F.struct(F.lit("DKE").alias("r"), F.lit(0.5).alias("s")), F.struct(F.lit("DKW").alias("r"), F.lit(0.5).alias("s"))))
     region = region.otherwise(F.array(F.struct(F.when(F.col("lon") >= border, "DKE").otherwise("DKW").alias("r"), F.lit(1.0).alias("s"))))
     return df.withColumn("_r", F.explode(region)).withColumns({"Region": F.col("_r.r"), "Capacity": F.col("Capacity") * F.col("_r.s")}).drop("_r")
 
 
+def known_retire_years(df: DataFrame) -> DataFrame:
+    """``df`` with ``YearRetire`` of German nuclear plants whose end is fixed, where the name holds that of the plant (a later one
+    of the list wins); an own value stays otherwise."""
+    # The years of those plants.
+    years = {"Grafenrheinfeld": 2015, "Philippsburg": 2019, "Brokdorf": 2021, "Grohnde": 2021, "Gundremmingen": 2021, "Emsland": 2022, "Isar": 2022, "Neckarwestheim": 2022}
+    out = F.col("YearRetire").cast("double") if "YearRetire" in df.columns else F.lit(None).cast("double")
+    for place, year in years.items():
+        hit = F.contains(F.lower("Name"), F.lit(place.lower())) & (F.col("Fueltype") == "Nuclear") & (F.col("Country") == "Germany")
+        out = F.when(F.coalesce(hit, F.lit(False)), F.lit(float(year))).otherwise(out)
+    return df.withColumn("YearRetire", out)
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """Rows that have both coordinates."""
+    return df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+
+
 def bounding_box(df: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
     """Rows inside a box, and those without a position."""
     inside = F.col("lat").between(south, north) & F.col("lon").between(west, east)

@@ -140,14 +140,14 @@ def country_alpha2(spark, sf):
 
 
 _SIMILAR = """
-, r AS (SELECT row_id AS id, source, nullif(trim(regexp_replace(replace(replace(replace(replace(strip_accents(lower(name)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd'), '[ \\t\\n\\r]+', ' ', 'g')), '') AS name, nullif(trim(replace(replace(replace(replace(strip_accents(lower(fueltype)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd')), '') AS fuel, nullif(trim(replace(replace(replace(replace(strip_accents(lower(technology)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd')), '') AS tech, coalesce(trim(lower(fueltype)), '') AS rawfuel, country, capacity, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lat END AS lat, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lon END AS lon FROM p {where}),
-q AS (SELECT *, coalesce(country, '') AS b1, rawfuel AS b2, CASE WHEN length(fuel) < 2 THEN [fuel] ELSE list_distinct(list_transform(range(1, length(fuel)), lambda i: fuel[i:i+1])) END AS fq, CASE WHEN length(tech) < 2 THEN [tech] ELSE list_distinct(list_transform(range(1, length(tech)), lambda i: tech[i:i+1])) END AS tq, string_split(name, ' ') AS w FROM r),
+, r AS (SELECT row_id AS id, source, nullif(trim(regexp_replace(replace(replace(replace(replace(strip_accents(lower(name)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd'), '[ \\t\\n\\r]+', ' ', 'g')), '') AS name, nullif(trim(replace(replace(replace(replace(strip_accents(lower(fueltype)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd')), '') AS fuel, nullif(trim(replace(replace(replace(replace(strip_accents(lower(technology)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd')), '') AS tech, country, capacity, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lat END AS lat, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lon END AS lon FROM p {where}),
+q AS (SELECT *, coalesce(country, '') AS b1, CASE WHEN length(fuel) < 2 THEN [fuel] ELSE list_distinct(list_transform(range(1, length(fuel)), lambda i: fuel[i:i+1])) END AS fq, CASE WHEN length(tech) < 2 THEN [tech] ELSE list_distinct(list_transform(range(1, length(tech)), lambda i: tech[i:i+1])) END AS tq, string_split(name, ' ') AS w FROM r),
 s AS (SELECT a.id AS id_a, b.id AS id_b,
  CASE WHEN a.name = b.name THEN 1.0 WHEN len(a.w) <= len(b.w) THEN list_avg(list_transform(a.w, lambda x: list_max(list_transform(b.w, lambda y: jaro_winkler_similarity(x, y))))) ELSE list_avg(list_transform(b.w, lambda x: list_max(list_transform(a.w, lambda y: jaro_winkler_similarity(x, y))))) END AS s_name,
  CASE WHEN a.fuel IS NULL OR b.fuel IS NULL THEN NULL WHEN a.fuel = b.fuel THEN 1.0 ELSE len(list_intersect(a.fq, b.fq)) / least(len(a.fq), len(b.fq))::DOUBLE END AS s_fuel, CASE WHEN a.tech IS NULL OR b.tech IS NULL THEN NULL WHEN a.tech = b.tech THEN 1.0 ELSE len(list_intersect(a.tq, b.tq)) / least(len(a.tq), len(b.tq))::DOUBLE END AS s_tech,
  CASE WHEN a.country = b.country THEN 1.0 END AS s_country, CASE WHEN a.capacity IS NULL OR b.capacity IS NULL OR a.capacity = 0 OR b.capacity = 0 THEN NULL WHEN a.capacity * b.capacity < 0 THEN 0.0 ELSE least(abs(a.capacity), abs(b.capacity)) / greatest(abs(a.capacity), abs(b.capacity)) END AS s_cap,
  CASE WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL THEN greatest(0.0, 1 - 2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) / 5.0) END AS s_geo
- FROM q a JOIN q b ON a.b1 = b.b1 AND a.b2 = b.b2 AND {on}),
+ FROM q a JOIN q b ON a.b1 = b.b1 AND {on}),
 o AS (SELECT id_a, id_b, {odds} AS odds FROM s)"""
 
 
@@ -166,7 +166,7 @@ def dedup_links(spark, sf):
     from regfuse.operators.linkage import dedup_links as links
 
     p = plants(spark, sf).withColumnRenamed("row_id", "id")
-    return links(p, [F.coalesce("Country", F.lit("")), F.lower(F.trim(F.coalesce("Fueltype", F.lit("")))), "source"]).withColumns(r6("score"))
+    return links(p, [F.coalesce("Country", F.lit("")), "source"]).withColumns(r6("score"))
 
 
 @query("{P}" + _SIMILAR.replace("{where}", "WHERE source IN ('GEOLIST', 'MARKTREG')").replace("{on}", "a.source = 'GEOLIST' AND b.source = 'MARKTREG'").replace("{odds}", _odds(_LINK)) + " SELECT id_a, id_b, round(odds / (1 + odds), 6) AS score FROM o WHERE odds >= 0.965 / 0.035 - 1e-9")
@@ -178,7 +178,7 @@ def record_links(spark, sf):
 
 
 def _BLOCK():
-    return [F.coalesce("Country", F.lit("")), F.lower(F.trim(F.coalesce("Fueltype", F.lit(""))))]
+    return [F.coalesce("Country", F.lit(""))]
 
 
 def _two(spark, sf):
@@ -362,32 +362,32 @@ def net_scaling(spark, sf):
     return lower(scale_to_net_capacities(plants(spark, sf).filter("source = 'GEOLIST'"), _factors(spark, sf)).select("row_id", F.round("Capacity", 5).alias("Capacity")))
 
 
-_COMM_VRE = _COMM.replace("FROM p)", "FROM p WHERE fueltype IN ('Solar', 'Wind'))")
+_COMM_VRE = _COMM.replace("FROM p)", "FROM p WHERE fueltype IN ('Wind', 'Solar', 'Biogas', 'Solid Biomass'))")
 
 
 def _cohorts(spark, sf, geo):
     from regfuse.operators.heuristics import vre_by_commissioning_year
 
-    out = vre_by_commissioning_year(plants(spark, sf), ["Solar", "Wind"], geo)
+    out = vre_by_commissioning_year(plants(spark, sf), None, geo)
     if geo == "wm":
         out = out.withColumns({c: F.round(c, 4) for c in ("lat", "lon")})
-    return lower(out.withColumns(r6(*[c for c in ("Capacity", "lat", "lon") if c in out.columns], "DateIn")))
+    return lower(out.withColumns(r6(*[c for c in ("Capacity", "lat", "lon") if c in out.columns], "DateIn", "DateRetrofit")))
 
 
 _BY = " FROM c WHERE country IS NOT NULL AND d3 IS NOT NULL GROUP BY country, d3, fueltype, technology"
 
 
-@query(_COMM_VRE + " SELECT country, round(d3, 6) AS datein, fueltype, technology, round(sum(capacity), 6) AS capacity, 'PP' AS \"set\"" + _BY)
+@query(_COMM_VRE + " SELECT country, round(d3, 6) AS datein, round(d3, 6) AS dateretrofit, fueltype, technology, round(sum(capacity), 6) AS capacity, 'PP' AS \"set\"" + _BY)
 def vre_cohorts(spark, sf):
     return _cohorts(spark, sf, None)
 
 
-@query(_COMM_VRE + " SELECT country, round(d3, 6) AS datein, fueltype, technology, round(sum(capacity), 6) AS capacity, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, 'PP' AS \"set\"" + _BY)
+@query(_COMM_VRE + " SELECT country, round(d3, 6) AS datein, round(d3, 6) AS dateretrofit, fueltype, technology, round(sum(capacity), 6) AS capacity, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, 'PP' AS \"set\"" + _BY)
 def vre_cohorts_mean(spark, sf):
     return _cohorts(spark, sf, "mean")
 
 
-@query(_COMM_VRE + " SELECT country, round(d3, 6) AS datein, fueltype, technology, round(sum(capacity), 6) AS capacity, " + ", ".join(f"round(sum({c} * capacity) FILTER (lat IS NOT NULL AND lon IS NOT NULL) / nullif(sum(capacity) FILTER (lat IS NOT NULL AND lon IS NOT NULL), 0), 4) AS {c}" for c in ("lat", "lon")) + ", 'PP' AS \"set\"" + _BY)
+@query(_COMM_VRE + " SELECT country, round(d3, 6) AS datein, round(d3, 6) AS dateretrofit, fueltype, technology, round(sum(capacity), 6) AS capacity, " + ", ".join(f"round(sum({c} * capacity) FILTER (lat IS NOT NULL AND lon IS NOT NULL) / nullif(sum(capacity) FILTER (lat IS NOT NULL AND lon IS NOT NULL), 0), 4) AS {c}" for c in ("lat", "lon")) + ", 'PP' AS \"set\"" + _BY)
 def vre_cohorts_weighted(spark, sf):
     return _cohorts(spark, sf, "wm")
 
@@ -418,12 +418,12 @@ def nearest_country_bus(spark, sf):
     return nearest(plants(spark, sf).select("row_id", "lat", "lon", "Country"), table(spark, sf, "buses"), by_country=True, id_col="row_id").select("row_id", "bus")
 
 
-@query("""{P} SELECT country AS bus, lower(fueltype) AS carrier, "set", round(sum(capacity), 6) AS p_nom, round(sum(duration * capacity) / nullif(sum(capacity) FILTER (duration IS NOT NULL), 0), 6) AS max_hours FROM p WHERE country IS NOT NULL AND fueltype IS NOT NULL AND "set" IN ('Store', 'Storage') GROUP BY country, fueltype, "set" """)
+@query("""{P} SELECT country AS bus, lower(fueltype) AS carrier, c AS component, round(coalesce(sum(capacity), 0), 6) AS p_nom, round(coalesce(sum(duration * capacity), 0) / nullif(sum(capacity), 0), 6) AS max_hours FROM (SELECT *, CASE WHEN "set" = 'CHP' THEN 'PP' ELSE "set" END AS c FROM p) WHERE country IS NOT NULL AND fueltype IS NOT NULL AND c IS NOT NULL GROUP BY country, fueltype, c""")
 def network_agg(spark, sf):
     from regfuse.operators.export import network_parts
 
-    stores, _ = network_parts(plants(spark, sf).withColumn("bus", F.col("Country")))
-    return lower(stores.select("bus", "carrier", "Set", F.round("p_nom", 6).alias("p_nom"), F.round("max_hours", 6).alias("max_hours")))
+    stores, others = network_parts(plants(spark, sf).withColumn("bus", F.col("Country")))
+    return lower(stores.unionByName(others).select("bus", "carrier", "component", F.round("p_nom", 6).alias("p_nom"), F.round("max_hours", 6).alias("max_hours")))
 
 
 @query("""{P}, y AS (SELECT * FROM (VALUES (2015), (2020), (2025), (2030)) v(year)), t AS (SELECT * FROM (VALUES ('Hydro', 100), ('Wind', 25), ('Solar', 25)) v(fueltype, life))
@@ -506,14 +506,14 @@ def common_words(spark, sf):
     return words(plants(spark, sf))
 
 
-@query("{P} SELECT row_id, fueltype FROM (SELECT row_id, CASE WHEN fueltype IN ('Bioenergy', 'Geothermal', 'Mixed fuel types', 'Electro-mechanical', 'Hydrogen Storage') THEN 'Other' ELSE coalesce(fueltype, 'Other') END AS fueltype FROM p)")
+@query("{P} SELECT row_id, fueltype FROM (SELECT row_id, CASE WHEN fueltype IN ('Mixed fuel types', 'Electro-mechanical') THEN 'Other' ELSE coalesce(fueltype, 'Other') END AS fueltype FROM p)")
 def uncommon_to_other(spark, sf):
     from regfuse.operators.heuristics import uncommon_fuels_to_other
 
     return lower(uncommon_fuels_to_other(plants(spark, sf)).select("row_id", "Fueltype"))
 
 
-@query("{P}, d AS (SELECT row_id, unnest(CASE WHEN lon IS NULL THEN ['DKE', 'DKW'] WHEN lon >= 10.96 THEN ['DKE'] ELSE ['DKW'] END) AS region, CASE WHEN lon IS NULL THEN capacity / 2 ELSE capacity END AS capacity FROM p WHERE country = 'Denmark') SELECT row_id, region, capacity FROM d")
+@query("{P}, n AS (SELECT *, CASE WHEN contains(lower(name), 'fellinggard') OR contains(lower(name), 'jetsmark') THEN 'DKW' WHEN contains(lower(name), 'jegerspris') THEN 'DKE' END AS r FROM p), d AS (SELECT row_id, unnest(CASE WHEN r IS NOT NULL THEN [r] WHEN lon IS NULL THEN ['DKE', 'DKW'] WHEN lon >= 10.96 THEN ['DKE'] ELSE ['DKW'] END) AS region, CASE WHEN r IS NULL AND lon IS NULL THEN capacity / 2 ELSE capacity END AS capacity FROM n WHERE country = 'Denmark' OR r IS NOT NULL) SELECT row_id, region, capacity FROM d")
 def denmark_regions(spark, sf):
     from regfuse.operators.heuristics import denmark_regions as regions
 
@@ -538,3 +538,31 @@ def stream_hourly(spark, sf):
 def capacity_distribution(spark, sf):
     p = plants(spark, sf).filter("Fueltype is not null")
     return lower(p.groupBy("Fueltype").agg(F.round(F.percentile("Capacity", F.lit(0.5)), 6).alias("median"), F.round(F.avg("Capacity"), 6).alias("mean"), F.count("Capacity").alias("n")))
+
+
+_SHORT = "('Solid Biomass', 'BIO'), ('Biogas', 'BIG'), ('Geothermal', 'GEO'), ('Hard Coal', 'COA'), ('Hydro', 'HYD'), ('Lignite', 'LIG'), ('Natural Gas', 'NG'), ('Nuclear', 'NUC'), ('Oil', 'OIL'), ('Other', 'OTH'), ('Solar', ''), ('Waste', 'WST'), ('Wind', 'WO')"
+
+
+@query("{P}, s AS (SELECT * FROM (VALUES " + _SHORT + """) v(fueltype, short)), t AS (SELECT row_id, CASE WHEN "set" LIKE '%CHP%' THEN 'ConELC-CHP_' ELSE 'ConELC-PP_' END || short || CASE
+ WHEN fueltype = 'Wind' THEN CASE WHEN technology ILIKE '%offshore%' THEN 'F' ELSE 'N' END WHEN fueltype = 'Solar' THEN CASE WHEN technology ILIKE '%csp%' THEN 'CSP' ELSE 'SPV' END
+ WHEN fueltype = 'Natural Gas' THEN CASE WHEN technology ILIKE '%ccgt%' THEN '-CCGT' WHEN technology ILIKE '%ocgt%' THEN '-OCGT' ELSE '-ST' END
+ WHEN fueltype = 'Hydro' THEN CASE WHEN technology ILIKE '%pumped storage%' THEN '-PST' WHEN technology ILIKE '%run-of-river%' THEN '-ROR' ELSE '-STO' END ELSE '' END AS timestype FROM p JOIN s USING (fueltype))
+SELECT row_id, timestype FROM t""")
+def times_types(spark, sf):
+    from regfuse.operators.export import times_types as types
+
+    return lower(types(plants(spark, sf)).filter("TimesType is not null").select("row_id", "TimesType"))
+
+
+@query()
+def times_stock(spark, sf):
+    from regfuse.operators.export import times_stock as stock
+
+    return lower(stock(plants(spark, sf)).withColumn("Capacity", F.round("Capacity", 3)))
+
+
+@query("{P} SELECT row_id FROM p WHERE lat IS NOT NULL AND lon IS NOT NULL")
+def geo_presence(spark, sf):
+    from regfuse.operators.heuristics import with_position
+
+    return with_position(plants(spark, sf)).select("row_id")

@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session's ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is used."""
+    Where it names none, a temporary folder is used if driver and executors are one process (tests), else this fails."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = spark.sparkContext.getCheckpointDir()
     if not conf:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="regfuse-")
         spark.sparkContext.setCheckpointDir(conf)
         _written.append((spark, conf))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from regfuse.functions.text import classify
 from regfuse.functions.vocab import country_name
 from regfuse.operators.fuse import first_by
+from regfuse.plans.predicates import compile_query
 from regfuse.schema import TARGET_FUELTYPES, TARGET_SETS, TARGET_TECHNOLOGIES
 from regfuse.sources.registry import Source, register_source
 
@@ -66,11 +67,24 @@ def _gathered(df: DataFrame, search: list[str] | None = None) -> DataFrame:
 
 
 def _two_regions(eu: DataFrame, de: DataFrame) -> DataFrame:
-    """A European list without the German rows that the German list holds itself."""
+    """A European list without the German rows, and a German one. Rows of the European list whose name is an identifier of
+    the German one are left out, as they are in it in the right form. The European years count as retrofits too."""
     eu = eu.withColumnsRenamed({"name": "Name", "energy_source": "Fueltype", "technology": "Technology", "country": "Country", "capacity": "Capacity", "eic_code": "EIC", "commissioned": "DateIn"})
-    eu = eu.filter(F.coalesce(F.col("Country") != "DE", F.lit(True)))
+    eu = eu.filter(compile_query("Country != 'DE' and not Name.str.startswith('BNA')")).withColumn("DateRetrofit", F.col("DateIn"))
     de = de.withColumn("Name", F.coalesce("name_bnetza", "name_uba")).withColumn("Fueltype", F.coalesce("energy_source", "fuel")).withColumnsRenamed({"technology": "Technology", "country_code": "Country", "capacity_net_bnetza": "Capacity", "id": "projectID", "commissioned": "DateIn", "shutdown": "DateOut"})
-    return _gathered(eu.unionByName(de.filter(F.coalesce(~F.col("projectID").startswith("BNA_EXCLUDED"), F.lit(True))), allowMissingColumns=True)).withColumn("Country", country_name("Country"))
+    return _gathered(eu.unionByName(de, allowMissingColumns=True)).withColumn("Country", country_name("Country"))
+
+
+def _without_other_lists(df: DataFrame) -> DataFrame:
+    """A world-wide list without the rows it took from lists that are sources of their own."""
+    # How it names those.
+    others = ["GEODB", "Open Power System Data", "ENTSOE"]
+    return _gathered(df.filter(~F.coalesce(F.col("source").isin(others), F.lit(False))).withColumnsRenamed({"name": "Name", "primary_fuel": "Fueltype"}))
+
+
+def _planned(df: DataFrame, year: int = 2027) -> DataFrame:
+    """Plants under construction ("In Bau") with the year they are expected in."""
+    return df.withColumn("DateIn", F.when(F.coalesce(F.contains("Status", F.lit("In Bau")), F.lit(False)), F.lit(float(year))).otherwise(number("DateIn")))
 
 
 def _observatory(units: DataFrame, plants: DataFrame) -> DataFrame:
@@ -142,13 +156,13 @@ def _lakes(df: DataFrame) -> DataFrame:
 for _s in [
     Source("OPSD", prepare=_two_regions, drop_null=["Capacity"], reliability=5),
     Source("GEO", prepare=_observatory, reliability=3),
-    Source("JRC", prepare=_hydro_list, rename={"id": "projectID", "name": "Name", "pypsa_id": "projectID"}, reliability=4),
-    Source("GPD", rename={"name": "Name", "gppd_idnr": "projectID", "country_long": "Country", "primary_fuel": "Fueltype", "capacity_mw": "Capacity", "latitude": "lat", "longitude": "lon", "commissioning_year": "DateIn"}, reliability=3),
+    Source("JRC", prepare=_hydro_list, rename={"id": "projectID", "name": "Name"}, reliability=4),
+    Source("GPD", prepare=_without_other_lists, rename={"gppd_idnr": "projectID", "country_long": "Country", "capacity_mw": "Capacity", "latitude": "lat", "longitude": "lon", "commissioning_year": "DateIn"}, reliability=3),
     Source("ENTSOE", prepare=_prefix_countries, query="Capacity > 0", reliability=5),
     Source("ENTSOE_EIC", rename={"EicCode": "EIC", "EicDisplayName": "Name", "MarketParticipantIsoCountryCode": "Country"}, clean_names=False, reliability=1),
     Source("CARMA", rename={"Geoid": "projectID", "Company": "Company"}, reliability=1),
     Source("BEYONDCOAL", prepare=_tracker, status=("status", ["open", "retired"]), reliability=6),
-    Source("WIKIPEDIA", assign={"Fueltype": "'Nuclear'", "Technology": "'Steam Turbine'", "Set": "'PP'"}, reliability=4),
+    Source("WIKIPEDIA", prepare=_planned, assign={"Fueltype": "'Nuclear'", "Technology": "'Steam Turbine'", "Set": "'PP'"}, reliability=4),
     Source("OSM", prepare=_gathered, reliability=3),
     Source("MASTR", prepare=_unit_register, reliability=7),
     Source("EESI", prepare=_storage_projects, rename={"id": "projectID", "title": "Name", "facility_latitude": "lat", "facility_longitude": "lon"}, status=("status", ["Operational", "Under Construction"]), reliability=5),
