@@ -6,44 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from regfuse.session import BROADCAST_ROWS
+from regfuse.session import BROADCAST_ROWS, Cut
 
 
-def nearest_bus(df: DataFrame, buses: DataFrame, by_country: bool = False, id_col: str = "projectID", cell: float = 1.0) -> DataFrame:
+def nearest_bus(df: DataFrame, buses: DataFrame, by_country: bool = False, cell: float = 1.0) -> DataFrame:
     """``df`` with ``bus``: the nearest by straight distance in degrees, ties to the smallest; null without a position or
-    without a bus (in the country).
-
-    Few buses (counted, at most 200,000) are broadcast into growing rings of grid cells: a row meets the buses of the
-    nine cells around it, and only rows whose nearest one there may be beaten from outside meet a wider ring; the last
-    ring is the whole table of buses reduced to the cells' hulls. Many buses go the same way by shuffled joins."""
-    b = buses.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).select("bus", F.col("x").alias("_x"), F.col("y").alias("_y"), *([F.col("country").alias("_country")] if by_country else []))
+    without a bus (in the country). Repeated rows stay.
+
+    The distinct positions are looked up and joined back. Few buses (counted, at most 200,000) are broadcast into growing
+    rings of grid cells: a position meets the buses of the nine cells around it, and only those whose nearest one there may
+    be beaten from outside meet a wider ring; the last one is a single cell for all buses. Many buses go the same way by
+    shuffled joins."""
+    good = lambda *c: F.lit(True) if not c else good(*c[1:]) & F.col(c[0]).isNotNull() & ~F.isnan(c[0])
+    area = ["_country"] if by_country else []
+    b = buses.filter(good("x", "y")).select("bus", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"), *[F.col("country").alias(c) for c in area])
     few = b.count() <= BROADCAST_ROWS
     hint = F.broadcast if few else (lambda x: x)
-    rows = df.withColumn("_row", F.struct(*df.columns)).select("_row", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *([F.col("Country").alias("_c")] if by_country else []))
-    ok = rows.filter(F.col("_lat").isNotNull() & F.col("_lon").isNotNull() & ~F.isnan("_lat") & ~F.isnan("_lon"))
-    out = rows.filter(~(F.col("_lat").isNotNull() & F.col("_lon").isNotNull() & ~F.isnan("_lat") & ~F.isnan("_lon"))).select("_row", F.lit(None).cast(dict(b.dtypes)["bus"]).alias("bus"))
-    d2 = (F.col("_x") - F.col("_lon")) * (F.col("_x") - F.col("_lon")) + (F.col("_y") - F.col("_lat")) * (F.col("_y") - F.col("_lat"))
-    todo = ok
-    for size in (cell, 4 * cell, 16 * cell):
-        near = F.explode(F.array(*[F.struct((F.floor(F.col("_lat") / size) + i).alias("i"), (F.floor(F.col("_lon") / size) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_n")
-        cells = b.withColumns({"_i": F.floor(F.col("_y") / size), "_j": F.floor(F.col("_x") / size)})
-        # a cell's buses as one list: cells are bounded by the buses, which are the small side
-        lists = cells.groupBy("_i", "_j", *(["_country"] if by_country else [])).agg(F.collect_list(F.struct("bus", "_x", "_y")).alias("_list")) if few else cells.withColumn("_list", F.array(F.struct("bus", "_x", "_y")))
+    keep = ["_lat", "_lon", *(["_c"] if by_country else [])]
+    todo = df.filter(good("lat", "lon")).select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *([F.col("Country").alias("_c")] if by_country else [])).distinct()
+    parts: list[DataFrame] = []
+    for size in (cell, 4 * cell, 16 * cell, None):
+        whole = size is None
+        place = lambda c: F.lit(0).cast("bigint") if whole else F.floor(F.col(c) / size)  # noqa: E731, B023
+        steps = (0,) if whole else (-1, 0, 1)
+        near = F.explode(F.array(*[F.struct((place("_lat") + i).alias("i"), (place("_lon") + j).alias("j")) for i in steps for j in steps])).alias("_n")
+        cells = b.withColumns({"_i": place("_y"), "_j": place("_x")})
+        # a cell's buses as one list, if they are few in all
+        lists = cells.groupBy("_i", "_j", *area).agg(F.collect_list(F.struct("bus", "_x", "_y")).alias("_list")) if few else cells.withColumn("_list", F.array(F.struct("bus", "_x", "_y")))
         on = (F.col("_n.i") == F.col("_i")) & (F.col("_n.j") == F.col("_j"))
         if by_country:
             on = on & (F.col("_c") == F.col("_country"))
-        met = todo.select("*", near).join(hint(lists), on, "left")
         best = F.array_min(F.transform("_list", lambda z: F.struct(((z["_x"] - F.col("_lon")) * (z["_x"] - F.col("_lon")) + (z["_y"] - F.col("_lat")) * (z["_y"] - F.col("_lat"))).alias("d"), z["bus"].alias("bus"))))
-        keep = ["_row", "_lat", "_lon", *(["_c"] if by_country else [])]
-        found = met.groupBy(*keep).agg(F.min(best).alias("_best"), F.count(F.lit(1)).alias("_n9")).withColumn("_times", (F.col("_n9") / 9).cast("int"))
-        # nothing outside the nine cells is nearer than the border of the middle one's ring
-        edge = F.least(F.pmod(F.col("_lat"), F.lit(size)), size - F.pmod(F.col("_lat"), F.lit(size)), F.pmod(F.col("_lon"), F.lit(size)), size - F.pmod(F.col("_lon"), F.lit(size))) + size
-        sure = F.coalesce(F.col("_best.d") <= edge * edge, F.lit(False))
-        out = out.unionByName(found.filter(sure).select("_row", F.col("_best.bus").alias("bus")))
+        met = todo.select("*", near).join(hint(lists), on, "left")
+        # each ring is written, so that the next does not repeat it
+        found = Cut(met.groupBy(*keep).agg(F.min(best).alias("_best")), "ring").df
+        sure = F.lit(True)
+        if not whole:
+            # nothing outside the nine cells is nearer than the border of the middle one's ring
+            edge = F.least(F.pmod(F.col("_lat"), F.lit(size)), size - F.pmod(F.col("_lat"), F.lit(size)), F.pmod(F.col("_lon"), F.lit(size)), size - F.pmod(F.col("_lon"), F.lit(size))) + size
+            sure = F.coalesce(F.col("_best.d") <= edge * edge, F.lit(False))
+        parts.append(found.filter(sure).select(*keep, F.col("_best.bus").alias("bus")))
         todo = found.filter(~sure).select(*keep)
-    # what is left lies far from all buses: few rows against the counted buses, by the country or at large
-    far = todo.join(hint(b), (F.col("_c") == F.col("_country")) if by_country else F.lit(True), "left").groupBy("_row").agg(F.min_by("bus", F.struct(d2.alias("d"), F.col("bus"))).alias("bus"))
-    return out.unionByName(far).select("_row.*", "bus")
+        if todo.limit(1).count() == 0:
+            break
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    same = (df["lat"] == F.col("_lat")) & (df["lon"] == F.col("_lon"))
+    if by_country:
+        same = same & df["Country"].eqNullSafe(F.col("_c"))
+    return df.join(out, same, "left").select(*[df[c] for c in df.columns], "bus")
 
 
 def network_parts(df: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -140,7 +140,7 @@ def country_alpha2(spark, sf):
 
 
 _SIMILAR = """
-, r AS (SELECT row_id AS id, source, nullif(trim(regexp_replace(replace(replace(replace(replace(strip_accents(lower(name)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd'), '[ \\t\\n\\r]+', ' ', 'g')), '') AS name, nullif(trim(replace(replace(replace(replace(strip_accents(lower(fueltype)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd')), '') AS fuel, nullif(trim(replace(replace(replace(replace(strip_accents(lower(technology)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd')), '') AS tech, country, capacity, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lat END AS lat, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lon END AS lon FROM p {where}),
+, r AS (SELECT row_id AS id, source, nullif(trim(regexp_replace(replace(replace(replace(replace(strip_accents(lower(name)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd'), '[\\s\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}]+', ' ', 'g')), '') AS name, nullif(trim(replace(replace(replace(replace(strip_accents(lower(fueltype)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd')), '') AS fuel, nullif(trim(replace(replace(replace(replace(strip_accents(lower(technology)), 'ß', 'ss'), 'ł', 'l'), 'ø', 'o'), 'đ', 'd')), '') AS tech, country, capacity, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lat END AS lat, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lon END AS lon FROM p {where}),
 q AS (SELECT *, coalesce(country, '') AS b1, CASE WHEN length(fuel) < 2 THEN [fuel] ELSE list_distinct(list_transform(range(1, length(fuel)), lambda i: fuel[i:i+1])) END AS fq, CASE WHEN length(tech) < 2 THEN [tech] ELSE list_distinct(list_transform(range(1, length(tech)), lambda i: tech[i:i+1])) END AS tq, string_split(name, ' ') AS w FROM r),
 s AS (SELECT a.id AS id_a, b.id AS id_b,
  CASE WHEN a.name = b.name THEN 1.0 WHEN len(a.w) <= len(b.w) THEN list_avg(list_transform(a.w, lambda x: list_max(list_transform(b.w, lambda y: jaro_winkler_similarity(x, y))))) ELSE list_avg(list_transform(b.w, lambda x: list_max(list_transform(a.w, lambda y: jaro_winkler_similarity(x, y))))) END AS s_name,
@@ -408,14 +408,14 @@ _BUSES = "b AS (SELECT bus, x, y, country AS bc FROM buses WHERE x IS NOT NULL A
 def nearest_bus(spark, sf):
     from regfuse.operators.export import nearest_bus as nearest
 
-    return nearest(plants(spark, sf).select("row_id", "lat", "lon"), table(spark, sf, "buses"), id_col="row_id").select("row_id", "bus")
+    return nearest(plants(spark, sf).select("row_id", "lat", "lon"), table(spark, sf, "buses")).select("row_id", "bus")
 
 
 @query("{P}, " + _BUSES + ", d AS (SELECT row_id, arg_min(bus, ((x - lon) * (x - lon) + (y - lat) * (y - lat), bus)) AS bus FROM p JOIN b ON bc = country WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY row_id) SELECT row_id, bus FROM p LEFT JOIN d USING (row_id)")
 def nearest_country_bus(spark, sf):
     from regfuse.operators.export import nearest_bus as nearest
 
-    return nearest(plants(spark, sf).select("row_id", "lat", "lon", "Country"), table(spark, sf, "buses"), by_country=True, id_col="row_id").select("row_id", "bus")
+    return nearest(plants(spark, sf).select("row_id", "lat", "lon", "Country"), table(spark, sf, "buses"), by_country=True).select("row_id", "bus")
 
 
 @query("""{P} SELECT country AS bus, lower(fueltype) AS carrier, c AS component, round(coalesce(sum(capacity), 0), 6) AS p_nom, round(coalesce(sum(duration * capacity), 0) / nullif(sum(capacity), 0), 6) AS max_hours FROM (SELECT *, CASE WHEN "set" = 'CHP' THEN 'PP' ELSE "set" END AS c FROM p) WHERE country IS NOT NULL AND fueltype IS NOT NULL AND c IS NOT NULL GROUP BY country, fueltype, c""")
