@@ -566,3 +566,19 @@ def geo_presence(spark, sf):
     from regfuse.operators.heuristics import with_position
 
     return with_position(plants(spark, sf)).select("row_id")
+
+
+def _fused(spark, sf):
+    from regfuse.collection import powerplants
+    from regfuse.config import get_config
+
+    p = plants(spark, sf).withColumnRenamed("row_id", "id")
+    trust = _trust(spark, sf)
+    config = get_config(matching_sources={s: None for s in sorted(trust)}, fully_included_sources={"GEOLIST": "Capacity >= 1", "MARKTREG": None}, reliability=trust)
+    return powerplants({s: p.filter(F.col("source") == s).drop("source") for s in sorted(trust)}, config)
+
+
+@query()
+def powerplants_fused(spark, sf):
+    """All registers aggregated, linked, fused and extended."""
+    return lower(_fused(spark, sf).select("Name", "Fueltype", "Technology", "Set", "Country", "Capacity", "DateIn", "lat", "lon", "projectID"))

@@ -79,11 +79,15 @@ def _without_other_lists(df: DataFrame) -> DataFrame:
     """A world-wide list without the rows it took from lists that are sources of their own."""
     # How it names those.
     others = ["GEODB", "Open Power System Data", "ENTSOE"]
-    return _gathered(df.filter(~F.coalesce(F.col("source").isin(others), F.lit(False))).withColumnsRenamed({"name": "Name", "primary_fuel": "Fueltype"}))
+    if "source" in df.columns:
+        df = df.filter(~F.coalesce(F.col("source").isin(others), F.lit(False)))
+    return _gathered(df.withColumnsRenamed({"name": "Name", "primary_fuel": "Fueltype"}))
 
 
 def _planned(df: DataFrame, year: int = 2027) -> DataFrame:
     """Plants under construction ("In Bau") with the year they are expected in."""
+    if "Status" not in df.columns:
+        return df
     return df.withColumn("DateIn", F.when(F.coalesce(F.contains("Status", F.lit("In Bau")), F.lit(False)), F.lit(float(year))).otherwise(number("DateIn")))
 
 

@@ -77,6 +77,8 @@ def register_source(source: Source) -> Source:
 
 
 def source(name: str) -> Source:
+    from regfuse.sources import importers  # noqa: F401  registers the declared ones
+
     try:
         return _SOURCES[name.upper()]
     except KeyError:

@@ -181,3 +181,90 @@ def test_vintages(spark):
 
     df = spark.createDataFrame([("A", "Wind", 2000, 10.0), ("A", "Wind", 2001, 15.0), ("A", "Wind", 2002, 12.0)], "Country string, Fueltype string, Year int, Capacity double")
     assert {r.DateIn: r.Capacity for r in vintage_cohorts(df).collect()} == {2000.0: 7.0, 2001.0: 5.0}
+
+
+def test_config_layers(tmp_path):
+    from regfuse.config import get_config
+
+    f = tmp_path / "c.yaml"
+    f.write_text("main_query: Capacity > 1\nmatching_sources:\n  - A\n  - B: Capacity >= 2\n")
+    c = get_config(str(f), target_countries=["Spain"])
+    assert c["main_query"] == "Capacity > 1" and c["matching_sources"] == {"A": None, "B": "Capacity >= 2"} and c["target_countries"] == ["Spain"]
+    assert get_config()["digest"] == "" and c["digest"] == get_config(target_countries=["Spain"])["digest"]
+
+
+def test_pruned_links_are_all_links(spark):
+    import random
+
+    from regfuse.operators.linkage import dedup_links, record_links
+
+    rnd = random.Random(3)
+    names = ["Brunfal Klermond", "Brunfal Klermnod", "Stoldrin", "Dolmarek Tregmald", "Dolmarek"]
+    rows = []
+    for i in range(160):
+        lat, lon = (None, None) if i % 7 == 0 else (rnd.choice([50.0, 71.9, 72.5]) + rnd.random() * 0.03, 10 + rnd.random() * 0.1)
+        rows.append((i, rnd.choice(names), rnd.choice(["Oil", "Wind", None]), rnd.choice(["CCGT", None]), rnd.choice(["Norway", None]), rnd.choice([5.0, 6.0, None, 0.0]), lat, lon))
+    df = spark.createDataFrame(rows, "id bigint, Name string, Fueltype string, Technology string, Country string, Capacity double, lat double, lon double")
+    found = lambda d: {(r.id_a, r.id_b) for r in d.collect()}
+    assert found(dedup_links(df)) == found(dedup_links(df, prune=False)) != set()
+    a, b = df.filter("id < 60"), df.filter("id >= 60")
+    assert found(record_links(a, b)) == found(record_links(a, b, prune=False)) != set()
+
+
+def test_nearest_bus_keeps_repeated_rows(spark):
+    from regfuse.operators.export import nearest_bus
+
+    rows = spark.createDataFrame([(50.0, 10.0, "A"), (50.0, 10.0, "A"), (None, 10.0, "A"), (-999.0, -999.0, "A"), (50.0, 10.0, None)], "lat double, lon double, Country string")
+    buses = spark.createDataFrame([(1, 10.1, 50.0, "A"), (2, 10.0, 50.05, "B"), (3, None, 1.0, "A")], "bus int, x double, y double, country string")
+    assert sorted((r.bus or 0) for r in nearest_bus(rows, buses).collect()) == [0, 2, 2, 2, 2]
+    assert sorted((r.bus or 0) for r in nearest_bus(rows, buses, by_country=True).collect()) == [0, 0, 1, 1, 1]
+    assert nearest_bus(rows.limit(0), buses).count() == 0 and nearest_bus(rows, buses.limit(0)).filter("bus is null").count() == 5
+
+
+def test_rules_of_the_register(spark):
+    from pyspark.sql import functions as F
+
+    from regfuse.operators.export import network_parts, times_stock, times_types
+    from regfuse.operators.heuristics import denmark_regions, known_retire_years, uncommon_fuels_to_other, vre_by_commissioning_year
+
+    rows = [("Jetsmark", "Wind", "Offshore", "PP", "Denmark", 4.0, 2000.0, None, 12.0), ("Isar 2", "Nuclear", None, "PP", "Germany", 10.0, 1980.0, None, 11.0), ("X", "Geothermal", None, "CHP", "Italy", 2.0, 2000.0, 3.0, 9.0), ("Y", "Geothermal", None, "PP", "Italy", 2.0, 2000.0, None, 9.0), ("Z", "Mixed fuel types", None, "PP", None, 1.0, None, None, None), ("B", "Biogas", None, "PP", "Spain", 1.0, 2001.0, None, None)]
+    df = spark.createDataFrame(rows, "Name string, Fueltype string, Technology string, Set string, Country string, Capacity double, DateIn double, Duration double, lon double").withColumns({"DateRetrofit": F.lit(None).cast("double"), "lat": F.lit(50.0)})
+    assert [r.Region for r in denmark_regions(df).filter("Country = 'Denmark'").collect()] == ["DKW"]
+    assert {r.Fueltype for r in uncommon_fuels_to_other(df).collect()} == {"Wind", "Nuclear", "Geothermal", "Other", "Biogas"}
+    assert [r.YearRetire for r in known_retire_years(df).filter("YearRetire is not null").collect()] == [2022.0]
+    _, others = network_parts(df.withColumn("bus", F.col("Country")))
+    geo = others.filter("carrier = 'geothermal'").collect()
+    assert len(geo) == 1 and geo[0].component == "PP" and geo[0].p_nom == 4.0 and geo[0].max_hours == 1.5
+    assert {(r.Fueltype, r.DateRetrofit) for r in vre_by_commissioning_year(df).collect()} == {("Wind", 2000.0), ("Biogas", 2001.0)}
+    types = {r.Name: (r.TimesType, r.Life, r.YearRetire) for r in times_types(df).collect()}
+    assert types["Jetsmark"] == ("ConELC-PP_WOF", 25.0, 2025.0) and types["X"] == ("ConELC-CHP_GEO", 30.0, 2030.0) and types["Isar 2"] == ("ConELC-PP_NUC", 50.0, 2022.0) and types["Z"][0] is None
+    assert {(r.TimesType, r.Region, r.Year) for r in times_stock(df, 2015, 2025).filter("TimesType = 'ConELC-PP_WOF'").collect()} == {("ConELC-PP_WOF", "DKW", 2015), ("ConELC-PP_WOF", "DKW", 2020)}
+
+
+def test_importers_leave_out_other_lists(spark):
+    from regfuse.sources.registry import source
+
+    gpd = spark.createDataFrame([("Alpha", "1", "Spain", "Gas", 5.0, 40.0, 1.0, 2000, "GEODB"), ("Beta", "2", "Spain", "Gas", 5.0, 40.0, 1.0, 2000, "Own"), ("Gamma", "3", "Spain", "Gas", 5.0, 40.0, 1.0, 2000, None)], "name string, gppd_idnr string, country_long string, primary_fuel string, capacity_mw double, latitude double, longitude double, commissioning_year int, source string")
+    assert {r.projectID for r in source("GPD").load(gpd).collect()} == {"2", "3"}
+    wiki = spark.createDataFrame([("Aname", "In Bau", "2019"), ("Bname", "In Betrieb", "1980")], "Name string, Status string, DateIn string")
+    assert {r.DateIn for r in source("WIKIPEDIA").load(wiki).collect()} == {2027.0, 1980.0}
+    eu = spark.createDataFrame([("Oldwerk", "Lignite", "Steam turbine", "DE", 5.0, "e1", 1980.0), ("BNA1 Werk", "Lignite", "Steam turbine", "FR", 5.0, "e2", 1980.0), ("Newwerk", "Lignite", "Steam turbine", "FR", 5.0, "e3", 1980.0)], "name string, energy_source string, technology string, country string, capacity double, eic_code string, commissioned double")
+    de = spark.createDataFrame([("Dewerk", None, "Hard coal", None, "Steam turbine", "DE", 7.0, "BNA2", 1990.0, None)], "name_bnetza string, name_uba string, energy_source string, fuel string, technology string, country_code string, capacity_net_bnetza double, id string, commissioned double, shutdown double")
+    assert {(r.Name, r.DateRetrofit) for r in source("OPSD").load(eu, de).collect()} == {("Newwerk", 1980.0), ("Dewerk", None)}
+
+
+def test_fused_table(spark):
+    from regfuse.collection import collect, powerplants
+    from regfuse.config import get_config
+    from regfuse.schema import conform
+
+    cols = "id bigint, Name string, Fueltype string, Technology string, Country string, Capacity double, lat double, lon double, projectID string"
+    a = [(1, "Brunfal Klermond", "Oil", None, "Spain", 5.0, 40.0, 1.0, "a1"), (2, "Brunfal Klermond", "Oil", None, "Spain", 6.0, 40.0, 1.0, "a2"), (3, "Stoldrin", "Wind", None, "Spain", 6.0, 41.0, 1.0, "a3")]
+    b = [(11, "Brunfal Klermond", "Oil", "CCGT", "Spain", 11.0, 40.001, 1.0, "b1"), (12, "Halvorm", "Wind", None, "Spain", 2.0, None, None, "b2")]
+    sets = {n: conform(spark.createDataFrame(r, cols), ["id"]) for n, r in (("A", a), ("B", b))}
+    config = get_config(matching_sources=["A", "B"], fully_included_sources={"A": None, "B": None}, reliability={"A": 1.0, "B": 2.0})
+    matched = collect(sets, config).collect()
+    assert len(matched) == 1 and matched[0].projectID == {"A": ["a1", "a2"], "B": ["b1"]} and matched[0].Capacity == 11.0
+    got = {tuple(sorted(i for v in r.projectID.values() for i in v)) for r in powerplants(sets, config, only_placed=False).collect()}
+    assert got == {("a1", "a2", "b1"), ("a3",), ("b2",)}
+    assert powerplants(sets, config).count() == 2
