@@ -3,15 +3,18 @@
 Sizes are tokens of a public tokenizer. Every task packs its texts by best-fit decreasing. Dual feasible functions
 give a lower bound on the number of containers any packing of the same sizes needs; a task whose count equals its
 bound is certified and its containers are final. The others keep their full containers and exchange the texts of the
-rest: these are shuffled together into fewer tasks and packed again, until the count meets the bound, no more
-containers are saved, or the rounds are over. A text over the capacity is cut into whole containers and a rest.
+rest: these are shuffled together into fewer tasks and packed again, until all meet their bounds, one task is left, or
+the rounds are over. Tasks hold a fixed number of texts, so there are as many as the texts need. Bounds come out by task
+(``certificates``) and for the whole (:func:`certificate`). A text over the capacity is cut into whole containers and a rest.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,22 +24,30 @@ from regfuse.session import Cut
 CAPACITY, ROUNDS = 2048, 4
 #: A container this full is final in any case.
 FULL = 0.98
+#: Texts a task packs; there are as many tasks as that takes.
+TASK_ROWS = 5_000
 
 
-def lower_bound(sizes: list[int], capacity: int) -> int:
+def lower_bound(sizes: list[int] | dict[int, int], capacity: int) -> int:
     """Containers any packing needs: the best of the volume bound and dual feasible functions that round sizes up near
-    1 and down near 0, and that count parts in steps of the k-th part."""
-    if not sizes:
+    1 and down near 0, and that count parts in steps of the k-th part. ``sizes`` may be counts by size."""
+    count = Counter(sizes) if not isinstance(sizes, dict) else sizes
+    if not count:
         return 0
-    best = -(-sum(sizes) // capacity)
-    for e in sorted({s for s in sizes if 2 * s <= capacity})[:: max(1, len(set(sizes)) // 64)] or []:
-        # sizes over capacity - e fill a container, those under e count nothing
-        total = sum(capacity if s > capacity - e else s if s >= e else 0 for s in sizes)
-        best = max(best, -(-total // capacity))
+    size = np.array(sorted(count), dtype=np.int64)
+    n = np.array([count[int(s)] for s in size], dtype=np.int64)
+    best = -(-int((size * n).sum()) // capacity)
+    # sizes over capacity - e fill a container, those under e count nothing: for every size e up to a half
+    volume, number = np.concatenate([[0], np.cumsum(size * n)]), np.concatenate([[0], np.cumsum(n)])
+    e = size[2 * size <= capacity]
+    low, high = np.searchsorted(size, e), np.searchsorted(size, capacity - e, side="right")
+    if len(e):
+        totals = (number[-1] - number[high]) * capacity + volume[high] - volume[low]
+        best = max(best, -(-int(totals.max()) // capacity))
     for k in range(1, 9):
         # whole multiples of 1/(k + 1) stay, others are rounded down to k-ths
-        total = sum(s * k if s * (k + 1) % capacity == 0 else s * (k + 1) // capacity * capacity for s in sizes)
-        best = max(best, -(-total // (capacity * k)))
+        parts = np.where(size * (k + 1) % capacity == 0, size * k, size * (k + 1) // capacity * capacity)
+        best = max(best, -(-int((parts * n).sum()) // (capacity * k)))
     return best
 
 
@@ -84,22 +95,25 @@ def sized(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
     return documents.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).mapInPandas(run, f"{doc_id} {kind}, tokens bigint")
 
 
-def pack(sizes: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", size_col: str = "tokens", rounds: int = ROUNDS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", size_col: str = "tokens", rounds: int = ROUNDS, certificates: bool = False) -> DataFrame:
     """Every item assigned to a container: ``id, part, start, size, container``.
 
     Items over the capacity are cut into full parts and a rest, no others. Items of size 0 or null come out in no
-    container (null). Repeated ids are items of their own; an empty table gives none. Containers are named by text."""
+    container (null). Repeated ids are items of their own; an empty table gives none. Containers are named by text.
+
+    ``certificates`` gives the tasks instead: ``step, task, texts, bins, bound``. A task packed its texts with as few
+    containers as possible if ``bins`` equals ``bound``."""
     kind = sizes.schema[id_col].dataType.simpleString()
     base = sizes.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("n"))
     cutup = base.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)))))
     items = cutup.select("id", F.col("part").cast("bigint").alias("part"), (F.col("part") * capacity).cast("bigint").alias("start"), F.least(F.col("n") - F.col("part") * capacity, F.lit(capacity)).cast("bigint").alias("size"))
-    columns = f"id {kind}, part bigint, start bigint, size bigint, container string, final boolean"
+    columns = f"id {kind}, part bigint, start bigint, size bigint, container string, final boolean, step int, task int, bins bigint, bound bigint"
     done = items.filter("size <= 0 or size = " + str(capacity)).select("*", F.when(F.col("size") > 0, F.concat_ws("-", F.lit("w"), "id", "part", F.monotonically_increasing_id())).alias("container"))
     todo = Cut(items.filter(f"size > 0 and size < {capacity}"), "items")
     finished: list[Cut] = []
-    tasks = max(1, min(200, todo.rows // 20_000))
+    tasks = max(1, -(-todo.rows // TASK_ROWS))
     for step in range(rounds):
-        last = step == rounds - 1 or tasks == 1
+        last = step == rounds - 1 or (tasks == 1 and step > 0) or todo.rows <= TASK_ROWS
 
         def run(batches: Iterator[pd.DataFrame], step=step, last=last) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
@@ -110,13 +124,14 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", siz
             pdf = pd.concat(frames, ignore_index=True)
             n = pdf["size"].tolist()
             bins = best_fit_decreasing(list(enumerate(n)), capacity)
-            certified = len(bins) == lower_bound(n, capacity)
+            bound = lower_bound(n, capacity)
+            certified = len(bins) == bound
             where, final = [""] * len(n), [False] * len(n)
             for k, b in enumerate(bins):
                 ok = last or certified or sum(n[i] for i in b) >= FULL * capacity
                 for i in b:
                     where[i], final[i] = f"{step}-{TaskContext.get().partitionId()}-{k}", ok
-            yield pdf.assign(container=where, final=final)
+            yield pdf.assign(container=where, final=final, step=step, task=TaskContext.get().partitionId(), bins=len(bins), bound=bound)
 
         out = Cut(todo.df.repartition(tasks, F.xxhash64("id", "part", F.lit(step))).mapInPandas(run, columns), f"packed{step}")
         todo.drop()
@@ -125,7 +140,12 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", siz
         if last or not rest.limit(1).count():
             break
         todo = Cut(rest.select("id", "part", "start", "size"), "items")
-        tasks = max(1, min(tasks // 2, todo.rows // 20_000))
+        tasks = max(1, -(-todo.rows // TASK_ROWS))
+    if certificates:
+        every = finished[0].df
+        for f in finished[1:]:
+            every = every.unionByName(f.df)
+        return every.groupBy("step", "task").agg(F.count(F.lit(1)).alias("texts"), F.max("bins").alias("bins"), F.max("bound").alias("bound"))
     result = done.select("id", "part", "start", "size", "container")
     for f in finished:
         result = result.unionByName(f.df.filter("final").select("id", "part", "start", "size", "container"))
@@ -136,3 +156,13 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: s
     """Texts of ``documents`` packed into containers of ``capacity`` tokens."""
     counts = Cut(sized(documents, vocabulary=vocabulary), "tokens")
     return pack(counts.df, capacity)
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """How good a whole packing from :func:`pack` is: ``containers``, the ``bound`` no packing of the same sizes can go under
+    (from the counts by size, of which there are at most ``capacity``), and the share of the containers that is ``filled``."""
+    used = packed.filter("container is not null")
+    counts = {int(r["size"]): int(r["count"]) for r in used.groupBy("size").count().toLocalIterator()}
+    containers = used.select("container").distinct().count()
+    filled = sum(s * n for s, n in counts.items()) / (containers * capacity) if containers else None
+    return packed.sparkSession.createDataFrame([(containers, lower_bound(counts, capacity), filled)], "containers bigint, bound bigint, filled double")

@@ -61,6 +61,13 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p8_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the bound no packing can go under, and how full they are."""
+    from regfuse.llm.packing import certificate
+
+    return certificate(p8_pack(spark, sf_dir)).withColumn("filled", F.round("filled", 6))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regfuse.llm.leakage import find_leaks
 
@@ -73,7 +80,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_truth": p1_truth, "p2_found": p2_found, "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_truth": p1_truth, "p2_found": p2_found, "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p8_pack": p8_pack, "p8_certificate": p8_certificate, "p9_found": p9_found, "p10_found": p10_found}
 
 _PRESENT = {
     "capacity": "capacity > 0 AND NOT isnan(capacity) AND capacity <= 1e12 AND capacity NOT IN (99999, 999999, 9999999, 99999999, 999999999, 88888, 888888)",

@@ -92,6 +92,33 @@ def test_packing(spark):
     assert len([r for r in out if r.doc_id == 900]) == 3 and len(used) <= 1.05 * lower_bound([r["size"] for r in out if r.container], 2048)
 
 
+def test_packing_in_several_tasks(spark, monkeypatch):
+    from regfuse.llm import packing
+
+    monkeypatch.setattr(packing, "TASK_ROWS", 100)
+    rnd = random.Random(4)
+    sizes = spark.createDataFrame([(i, rnd.randint(1, 900)) for i in range(1000)], "doc_id bigint, tokens bigint")
+    out = packing.pack(sizes, 1000)
+    used = {}
+    for r in out.collect():
+        used.setdefault(r.container, []).append(r["size"])
+    assert sum(map(len, used.values())) == 1000 and max(map(sum, used.values())) <= 1000
+    total = packing.certificate(out, 1000).collect()[0]
+    assert total.bound <= total.containers == len(used) <= 1.05 * total.bound and total.filled > 0.9
+    tasks = packing.pack(sizes, 1000, certificates=True).collect()
+    assert len([t for t in tasks if t.step == 0]) >= 8 and any(t.step > 0 for t in tasks) and all(t.bins >= t.bound for t in tasks)
+
+
+def test_bounds_are_bounds():
+    from regfuse.llm.packing import best_fit_decreasing, lower_bound
+
+    assert lower_bound([], 10) == 0 and lower_bound([6, 6, 6], 10) == 3 and lower_bound([5, 5, 5], 10) == 2 and lower_bound([4, 4, 4], 10) == 2
+    rnd = random.Random(6)
+    for _ in range(50):
+        n = [rnd.randint(1, 100) for _ in range(rnd.randint(1, 60))]
+        assert -(-sum(n) // 100) <= lower_bound(n, 100) <= len(best_fit_decreasing(list(enumerate(n)), 100))
+
+
 def test_residue_labels():
     from regfuse.llm.residue import weak_label
 
