@@ -211,6 +211,47 @@ def test_pruned_links_are_all_links(spark):
     assert found(record_links(a, b)) == found(record_links(a, b, prune=False)) != set()
 
 
+def test_bounds_of_names_lose_no_pair(spark):
+    import random
+
+    import numpy as np
+
+    from regfuse.functions.similarity import jaro_winkler, name_similarity
+    from regfuse.operators.pairs import Words, name_scores
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdeéß0-") for _ in range(rnd.choice([1, 2, 5, 8, 9, 30])))
+    names = [" ".join(word() for _ in range(rnd.randrange(6))) for _ in range(60)] + [None, "a" * 12 + " b", "aab aba"]
+    words = Words(np.array(names, dtype=object))
+    i, j = (x.ravel() for x in np.indices((len(names), len(names))))
+    want = [np.nan if names[x] is None or names[y] is None else name_similarity(names[x], names[y]) for x, y in zip(i, j)]
+    assert np.allclose(name_scores(words, i, j), want, rtol=0, atol=1e-14, equal_nan=True)
+    every = np.arange(len(words.words))
+    exact = np.array([[jaro_winkler(x, y) for y in words.words] for x in words.words])
+    assert (words.bound(every, every) >= exact - 1e-5).all()
+
+
+def test_unplaced_rows_of_a_block_are_not_all_compared_by_name(spark, monkeypatch):
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from regfuse.functions.similarity import LINK
+    from regfuse.operators import pairs
+
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghiklmnoprstuvw") for _ in range(7))
+    n = 800
+    a = pd.DataFrame({"a_name": [f"{word()} {word()}" for _ in range(n)], "a_fuel": "wind", "a_country": "spain", "a_capacity": 5.0, "a_lat": np.nan, "a_lon": np.nan})
+    b = a.rename(columns=lambda c: c.replace("a_", "b_")).assign(b_name=[x[:-1] + "z" for x in a["a_name"]])
+    block = pairs.Block(a, b, LINK)
+    i, j = (np.concatenate(x) for x in zip(*block.candidates()))
+    assert set(zip(range(n), range(n, 2 * n))) <= set(zip(i.tolist(), j.tolist())) and len(i) < n * n // 50
+    at, _ = block.score(i, j, False)
+    assert len(at) >= n
+
+
 def test_nearest_bus_keeps_repeated_rows(spark):
     from regfuse.operators.export import nearest_bus
 
