@@ -139,6 +139,17 @@ def test_cliques(spark):
     assert {r.id: r.grouped for r in group_cliques(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 3}
 
 
+def test_cliques_of_many_components_share_frames(spark):
+    from regfuse.operators import aggregate
+    from regfuse.operators.linkage import mirrored
+
+    n = 6000
+    links = mirrored(spark.range(n).selectExpr("id * 3 as id_a", "id * 3 + 1 as id_b"))
+    got = {r.id: r.grouped for r in aggregate.group_cliques(links).collect()}
+    assert got == {i: i // 3 * 3 for k in range(n) for i in (3 * k, 3 * k + 1)}
+    assert aggregate.CLIQUE_TASKS < n
+
+
 def test_cross_matches_prefer_full_rows(spark):
     from regfuse.operators.linkage import cross_matches
 
