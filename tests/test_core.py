@@ -222,6 +222,33 @@ def test_pruned_links_are_all_links(spark):
     assert found(record_links(a, b)) == found(record_links(a, b, prune=False)) != set()
 
 
+def test_each_pair_is_met_once_and_links_of_all_registers_in_one_job(spark):
+    from itertools import combinations
+
+    from regfuse.operators import linkage
+
+    names, capacity = ["Central Brunfal Klermond C", "Central Brunfal Klerm0nd 4", "Stoldrin Werk", "Stoldrin"], [-999.0, None, 5.0, 0.0, 6.0]
+    rows = [(i, names[i % 4], "Gas", "Norway", capacity[i % 5], *((None, None) if i % 3 == 0 else (50.0 + i / 10, 10.0))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, Name string, Fueltype string, Country string, Capacity double, lat double, lon double")
+    found = lambda d: sorted((r.id_a, r.id_b, round(r.score, 9)) for r in d.collect())
+    # one first side for rows without a position, and ids of both kinds in either order
+    assert found(linkage.dedup_links(df)) == found(linkage.dedup_links(df, prune=False)) != []
+    # registers whose ids are the same numbers
+    sets = {s: df.filter(f"id >= {k} and id < {k + 20}").withColumn("id", df["id"] - k) for k, s in ((0, "A"), (20, "B"), (40, "C"))}
+    links = linkage.link_all(sets)
+    assert list(links) == list(combinations(sets, 2))
+    for x, y in links:
+        assert found(links[x, y]) == found(linkage.compare_two(sets[x], sets[y])) != []
+
+
+def test_links_read_their_rows_once_and_in_many_parts(spark):
+    from regfuse.operators import linkage
+
+    df = spark.createDataFrame([(1, "Brunfal", "Gas", "Norway", 5.0, 50.0, 10.0)], "id bigint, Name string, Fueltype string, Country string, Capacity double, lat double, lon double")
+    plan = linkage.dedup_links(df)._jdf.queryExecution().toString()
+    assert "regexp_replace" not in plan and "REPARTITION_BY_NUM" in plan
+
+
 def test_bounds_of_names_lose_no_pair(spark):
     import random
 
