@@ -246,3 +246,22 @@ def test_alignment_equals_a_plain_one():
                 best = max(best, s)
         columns = matches * 3 - best
         assert max(span, doc_span) <= columns + 0 * start <= span + doc_span and total == matches if best else matches == 0
+
+
+def test_every_record_trains_and_every_pair_calibrates(spark):
+    from regfuse.llm import entities
+
+    # one word stands on the 9,000th record of its neighbourhood only
+    rows = [(i, "xyzzyq" if i == 8_999 else f"brun{i % 50} klermond", 50.0, 10.0, 5.0, "Wind", "DE") for i in range(9_000)]
+    df = spark.createDataFrame(rows, "id bigint, places string, lat double, lon double, cap double, fuel string, cc string")
+    before, after = entities.train_vectors(df, epochs=0), entities.train_vectors(df, epochs=1)
+    assert after.losses and float((before.words(["xyzzyq"]) @ after.words(["xyzzyq"]).T)[0, 0]) < 0.9999
+    # weights from Spark's sums are those of the arrays of all pairs, more than were once drawn
+    pairs = [((i * 37 % 500) / 100, (i * 53 % 101) / 100, (i * 71 % 103) / 103, (i * 13 % 30) / 10) for i in range(25_000)]
+    scored = spark.createDataFrame(pairs, "km double, agreement double, cosine double, unlike double")
+    import numpy as np
+
+    x = np.array([(c, a, u) for km, a, c, u in pairs if km <= entities.SAME_KM or entities.CLOSE_KM < km <= entities.PLANT_KM])
+    y = np.array([float(km <= entities.SAME_KM) for km, *_ in pairs if km <= entities.SAME_KM or entities.CLOSE_KM < km <= entities.PLANT_KM])
+    want = entities.fitted(x, y, 1.0, np.array([-4.0, 2.0, 8.0, -0.3]))
+    assert len(y) < 25_000 and np.allclose(entities._calibrate(scored)[0], want, atol=1e-4)
