@@ -265,3 +265,52 @@ def test_every_record_trains_and_every_pair_calibrates(spark):
     y = np.array([float(km <= entities.SAME_KM) for km, *_ in pairs if km <= entities.SAME_KM or entities.CLOSE_KM < km <= entities.PLANT_KM])
     want = entities.fitted(x, y, 1.0, np.array([-4.0, 2.0, 8.0, -0.3]))
     assert len(y) < 25_000 and np.allclose(entities._calibrate(scored)[0], want, atol=1e-4)
+
+
+def test_training_is_cheap_and_tells_words_apart():
+    import time
+
+    import numpy as np
+    import pandas as pd
+
+    from regfuse.llm import entities
+
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("bdfgklmnprst" if i % 2 else "aeiou") for i in range(8))
+    rows = []
+    for i in range(1500):
+        x, y, lat, lon = word(), word(), rnd.uniform(36, 60), rnd.uniform(-8, 30)
+        rows += [(8 * i + k, f"{x if k % 2 else _swapped(x)} {y if k % 3 else _swapped(y)}", lat, lon, 5.0 + i % 90, "Oil" if i % 3 else None, "DE" if i % 5 else "") for k in range(8)]
+    records = pd.DataFrame(rows, columns=["id", "places", "lat", "lon", "cap", "fuel", "cc"])
+    rng = np.random.default_rng(7)
+    table = (rng.standard_normal((entities.BUCKETS, entities.DIM)) / entities.DIM**0.5).astype(np.float32)
+    start, outer, losses, began = table.copy(), np.zeros_like(table), np.zeros(entities.EPOCHS + 1), time.process_time()
+    for k in range(0, len(records), 6000):
+        entities._walked(table, outer, records.iloc[k : k + 6000], np.random.default_rng([7, k]), entities.EPOCHS, losses)
+    # every walk of every record is a part of each epoch: 18 pairs at most, fewer if a walk comes back
+    assert 0.7 * 36 * len(records) < losses[-1] <= 36 * len(records) and losses[0] > losses[1] > losses[2]
+    # before: over 5 microseconds a pair and epoch
+    assert (time.process_time() - began) / (losses[-1] * entities.EPOCHS) < 2.5e-6
+    plants = [(p.split(), q.split()) for p, q in zip(records["places"][0::8], records["places"][1::8])]
+
+    def told_apart(values):
+        v = entities.Vectors(values)
+        a, b = (v.names([tuple(x[i]) for x in plants]) for i in (0, 1))
+        same, others = (a * b).sum(1), (a * np.roll(b, 1, axis=0)).sum(1)
+        return float((same.mean() - others.mean()) / np.sqrt(same.var() + others.var()))
+
+    assert told_apart(table - table.mean(0)) > told_apart(start - start.mean(0))
+
+
+def test_sums_of_rows_by_line():
+    import numpy as np
+
+    from regfuse.llm.entities import _Spread
+
+    rng = np.random.default_rng(2)
+    at, rows, source = rng.integers(0, 40, 5000) ** 2 % 97, rng.standard_normal((300, 4)).astype(np.float32), rng.integers(0, 300, 5000)
+    want, table = np.zeros((97, 4)), np.zeros((97, 4), np.float32)
+    np.add.at(want, at, rows[source])
+    _Spread(at, source).add(table, rows)
+    count = np.bincount(at, minlength=97)[:, None]
+    assert np.allclose(table, want * np.minimum(2 / np.maximum(count, 1), 1), atol=1e-4)
