@@ -280,8 +280,8 @@ def test_training_is_cheap_and_tells_words_apart():
     rows = []
     for i in range(1500):
         x, y, lat, lon = word(), word(), rnd.uniform(36, 60), rnd.uniform(-8, 30)
-        rows += [(8 * i + k, f"{x if k % 2 else _swapped(x)} {y if k % 3 else _swapped(y)}", lat, lon, 5.0 + i % 90, "Oil" if i % 3 else None, "DE" if i % 5 else "") for k in range(8)]
-    records = pd.DataFrame(rows, columns=["id", "places", "lat", "lon", "cap", "fuel", "cc"])
+        rows += [(8 * i + k, f"{x if k % 2 else _swapped(x)} {y if k % 3 else _swapped(y)}", int(lat * 10), int(lon * 10), int(lat // 2), int(lon // 2), i % 9 if k else None, "Oil" if i % 3 else None, "DE" if i % 5 else "") for k in range(8)]
+    records = pd.DataFrame(rows, columns=["id", "places", "y0", "x0", "y1", "x1", "band", "fuel", "cc"])
     rng = np.random.default_rng(7)
     table = (rng.standard_normal((entities.BUCKETS, entities.DIM)) / entities.DIM**0.5).astype(np.float32)
     start, outer, losses, began = table.copy(), np.zeros_like(table), np.zeros(entities.EPOCHS + 1), time.process_time()
