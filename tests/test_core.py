@@ -347,3 +347,20 @@ def test_fused_table(spark):
     got = {tuple(sorted(i for v in r.projectID.values() for i in v)) for r in powerplants(sets, config, only_placed=False).collect()}
     assert got == {("a1", "a2", "b1"), ("a3",), ("b2",)}
     assert powerplants(sets, config).count() == 2
+
+
+def test_unit_links_are_found_once(spark, monkeypatch):
+    from regfuse import collection
+    from regfuse.config import get_config
+    from regfuse.schema import conform
+
+    calls, found = [], collection.dedup_links
+    monkeypatch.setattr(collection, "dedup_links", lambda *args, **kwargs: calls.append(1) or found(*args, **kwargs))
+    cols = "id bigint, Name string, Fueltype string, Technology string, Country string, Capacity double, lat double, lon double, projectID string"
+    a = [(i, "Brunfal Klermond", "Oil", None, "Spain", c, 40.0, 1.0, f"a{i}") for i, c in ((1, 5.0), (2, 6.0), (3, 0.5))]
+    b = [(i, "Halvorm", "Wind", None, "Spain", 2.0, 50.0, 1.0, f"b{i}") for i in (11, 12)]
+    sets = {n: conform(spark.createDataFrame(r, cols), ["id"]) for n, r in (("A", a), ("B", b))}
+    config = get_config(matching_sources=["A", "B"], fully_included_sources={"A": "Capacity >= 1", "B": None}, reliability={"A": 1.0, "B": 2.0})
+    got = {tuple(sorted(i for v in r.projectID.values() for i in v)) for r in collection.powerplants(sets, config).collect()}
+    # the third unit is too small for the filter, the other two stay linked
+    assert got == {("a1", "a2"), ("b11", "b12")} and len(calls) == 1
